@@ -60,3 +60,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ships(module: str) -> None:
+    """Send the functions of `module` to executors by value, so that they needn't have this package."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[module])
