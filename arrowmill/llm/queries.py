@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup, html_text, lang_id, licenses, mixing, quality, sharding, toxicity
+from . import chat, decontaminate, dedup, html_text, lang_id, licenses, mixing, quality, sharding, toxicity
 from .common import table
 
 
@@ -14,10 +14,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op5_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.classes(table(spark, sf_dir, "documents"))
 
@@ -42,6 +50,6 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_toxicity, op5_minhash_classes, op6_language_id, op7_license_scan, op8_source_mix, op9_kd_shards, op10_html_text)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_benchmark_leaks, op3_toxicity, op4_chat_turns, op5_minhash_classes, op6_language_id, op7_license_scan, op8_source_mix, op9_kd_shards, op10_html_text)}
 
 ORACLES: dict[str, str] = {"op1_quality_rules": quality.SQL, "op8_source_mix": mixing.SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arrowmill.llm import dedup, mixing, quality, sharding
+from arrowmill.llm import decontaminate, dedup, mixing, quality, sharding
 from arrowmill.llm.common import table
 
 
@@ -16,6 +16,10 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup.keep(docs)
 
 
+def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.keep(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.draw(docs)
 
@@ -24,7 +28,7 @@ def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return sharding.placed(docs)
 
 
-STAGES = [("quality rules", quality_stage), ("near-duplicates", dedup_stage), ("source mix", mixing_stage), ("shards", sharding_stage)]
+STAGES = [("quality rules", quality_stage), ("near-duplicates", dedup_stage), ("benchmark leaks", leak_stage), ("source mix", mixing_stage), ("shards", sharding_stage)]
 
 #: Sharding grows a tree, and near-duplicates form components; SQL can't express either.
 ORACLE_SQL = None
