@@ -97,7 +97,7 @@ def matches(docs: DataFrame, items: DataFrame, *, key: list[str], radius: int =
         found = rolled.join(own, F.col("v") == F.col("__s")).select(*key, "item_id", F.expr("greatest(p - at, 0)").alias("start"), F.expr("slice(h, greatest(p - at, 0) + 1, m)").alias("w"))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        return docs.sparkSession.createDataFrame([], docs.select(*key).schema.add("item_id", "long").add("start", "int").add("similarity", "double"))
+        return docs.where(F.lit(False)).select(*key, F.lit(0).cast("bigint").alias("item_id"), F.lit(0).alias("start"), F.lit(0.0).alias("similarity"))
     windows = written(hits.dropDuplicates([*key, "item_id", "start"]).withColumn("f", F.expr(simhash_sql("w"))), "windows")
     blocks = known.select(F.col("item_id").alias("__i"), F.col("f").alias("__f"), F.inline(F.expr(blocks_sql("f", radius))).alias("__no", "__value"))
     cut = windows.select(*key, "item_id", "start", "w", "f", F.inline(F.expr(blocks_sql("f", radius))).alias("no", "value"))
