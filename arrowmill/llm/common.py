@@ -47,17 +47,42 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Tables that this process has written.
+_TABLES: list[str] = []
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: its lineage ends there and its size is known.
 
     Executors may be lost at any time afterwards; nothing of it lives on them.
+    The table stays until `release` or the end of the process, as results that
+    nobody has read yet may need it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables written so far; results made of them must have been read."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    while _TABLES:
+        path = path_of(_TABLES.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    try:
+        spark = SparkSession.getActiveSession()
+        if spark is not None:
+            release(spark)
+    except Exception:  # the JVM may be gone already; the cluster's own cleaning of the folder then has to do
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -38,8 +38,9 @@ MOST_ITEMS = 20_000
 
 
 def _hashed(text: str) -> str:
-    """SQL for the word hashes of `text`, lower-cased."""
-    return f"transform({words_sql(f'lower({text})')}, w -> xxhash64(w))"
+    """SQL for the word hashes of `text`: runs of letters and digits, lower-cased, so that a copy's punctuation doesn't matter."""
+    plain = rf"regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' ')"
+    return f"transform({words_sql(plain)}, w -> xxhash64(w))"
 
 
 def _shingles(h: str, width: int) -> str:

@@ -16,14 +16,15 @@ from arrowmill.llm.license_rules import RULES, STRENGTH
 
 def leaks(docs, items):
     out = {}
+    plain = lambda t: re.sub(r"[\W_]+", " ", (t or "").lower()).split()
     for i, t in items:
-        w = (t or "").lower().split()
+        w = plain(t)
         k = min(5, len(w))
         if not w:
             continue
         own = Counter(tuple(w[j : j + k]) for j in range(len(w) - k + 1))
         for d, text in docs:
-            x = (text or "").lower().split()
+            x = plain(text)
             best = 0
             for s in range(len(x)):
                 y = x[s : s + len(w)]
@@ -46,7 +47,7 @@ def test_leaks_equal_brute_force(spark, make):
             j = r.randrange(len(w))
             w[j : j + 1] = [word()] if d % 2 else [w[j], word()]
         lead = [word() for _ in range(r.randrange(0, 30))]
-        docs.append((d, " ".join(lead + w[: len(w) - d % 3] + [word() for _ in range(5)]).upper()))
+        docs.append((d, (" ", ", ", "...\n")[d % 3].join(lead + w[: len(w) - d % 3] + [word() for _ in range(5)]).upper()))
     docs += [(200, "here are two words now"), (201, None), (202, ""), (203, "and again and again and again and again and again and"), (204, "nothing of it")]
     rows = [(d, t, "en", "a") for d, t in docs]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
