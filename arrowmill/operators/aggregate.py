@@ -19,8 +19,8 @@ def _grouped(compiler, frame: Frame, keys: list[tuple[str, Value]], aggs: list[t
         raise AnalysisError(Rule.DUPLICATE_COLUMN, ", ".join(labels))
     outs = [v.col.alias(n) for n, v in aggs]
     if keys:
-        df = frame.df.groupBy(*[v.col.alias(n) for n, v in keys])
-        df = df.agg(*outs) if outs else frame.df.select(*[v.col.alias(n) for n, v in keys]).distinct()
+        df = frame.df.groupBy(*[v.labelled(n) for n, v in keys])
+        df = df.agg(*outs) if outs else frame.df.select(*[v.labelled(n) for n, v in keys]).distinct()
     else:
         df = frame.df.agg(*outs)
     id_ = next(compiler.ids)

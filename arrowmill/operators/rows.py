@@ -71,7 +71,7 @@ def project(compiler, frame: Frame, args, env) -> Frame:
                 cols += [named(v.prefix + m.name) for m in v.members if not any(str(named(v.prefix + m.name)) == str(c) for c in cols)]
                 keep_[n] = v
             else:
-                cols.append(v.col.alias(n))
+                cols.append(v.labelled(n))
                 keep_[n] = replace(v, col=named(n), name=n)
         return new.with_df(new.df.select(*cols), kind="relation", columns=keep_, joined={}, order=[])
     return compiler.rebuilt(new, found)

@@ -52,7 +52,7 @@ class Compiler:
             if isinstance(v, ClassRow):
                 out.append(F.struct(*[named(v.prefix + m.name).alias(m.name) for m in v.members]).alias(name))
             else:
-                out.append(v.col.alias(name))
+                out.append(v.labelled(name))
         return result.df.select(*out)
 
     # -- sources
@@ -109,7 +109,7 @@ class Compiler:
         if len(set(names)) != len(names):
             raise AnalysisError(Rule.DUPLICATE_COLUMN, f"{', '.join(n for n in names if names.count(n) > 1)}")
         id_ = next(self.ids)
-        new = Frame(id_, frame.df.select(*[v.col.alias(n) for n, v in columns]), **changes)
+        new = Frame(id_, frame.df.select(*[v.labelled(n) for n, v in columns]), **changes)
         for n, v in columns:
             new.columns[n] = Value(named(n), v.type, v.many, frozenset((id_,)), v.loose, n)
         renamed = {v.name: n for n, v in columns if v.name}

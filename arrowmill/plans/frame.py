@@ -30,6 +30,10 @@ class Value:
     name: str | None = None
     literal: object = None
 
+    def labelled(self, name: str) -> Column:
+        """The column under `name`, without an alias where it has that name already."""
+        return self.col if self.name == name else self.col.alias(name)
+
 
 @dataclass
 class Frame:
