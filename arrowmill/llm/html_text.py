@@ -174,7 +174,8 @@ def _measured(root: Node) -> list[Node]:
         if node.chars:
             c, t, lc, lt = node.chars, max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
             base = math.log(c / max(c - node.link_chars, 1) * node.link_chars + ratio * c + math.e)
-            node.density = c / t * max(math.log(max(c / lc * t / lt, 1.0)) / math.log(base) if base > 1 else math.log(max(c / lc * t / lt, 1.0)), 0.0) if base > 1 else c / t
+            # A body without any link has base 1 throughout; then density alone counts.
+            node.density = c / t * (math.log(max(c / lc * t / lt, 1.0)) / math.log(base) if base > 1 else 1.0)
     for node in order:
         node.sum = sum(c.density for c in node.children if isinstance(c, Node) and not c.drop)
         # Text that stands in a node itself weighs like a child of it.
