@@ -34,7 +34,7 @@ PAIRS: dict[str, tuple[str, str, str]] = {
     "filter_true": ("P15", "|shop::Region.all()->filter(x|true)->project(~[k: x|$x.key])", "SELECT r_regionkey AS k FROM region"),
     "map_scalar": ("P2", "|shop::Nation.all()->map(x|$x.name)", "SELECT n_name AS value FROM nation"),
     "extent_property": ("P3", "|shop::Customer.all().segment->distinct()", "SELECT DISTINCT c_mktsegment AS segment FROM customer"),
-    "project_positional": ("P5", "|shop::Part.all()->project([x|$x.key, x|$x.size * 2], ['k', 'twice'])", "SELECT p_partkey AS k, p_size * 2 AS twice FROM part"),
+    "project_positional": ("P5", "|shop::Part.all()->project([x|$x.key, x|$x.size * 2], ['k', 'twice'])", "SELECT p_partkey AS k, CAST(p_size AS BIGINT) * 2 AS twice FROM part"),
     "project_to_many": ("P5 J7", "|shop::Region.all()->project([x|$x.name, x|$x.nations.name], ['r', 'n'])", "SELECT r_name AS r, n_name AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey"),
     "restrict_list": ("P6", f"|{T('orders')}->restrict(['o_orderkey', 'o_orderstatus'])", "SELECT o_orderkey, o_orderstatus FROM orders"),
     "rename_columns": ("P8 F21", f"|{T('region')}->renameColumns(['r_name'->pair('label'), 'r_regionkey'->pair('id')])", "SELECT r_regionkey AS id, r_name AS label FROM region"),
@@ -105,7 +105,7 @@ PAIRS: dict[str, tuple[str, str, str]] = {
     "fold_add": ("O9", "|[1, 2, 3]->add(4)->fold({x, a|$x + $a}, 10)", "SELECT CAST(20 AS BIGINT) AS value"),
     "concat_rows": ("U1", f"|{T('nation')}->restrict('n_name')->renameColumns('n_name'->pair('name'))->concatenate({T('region')}->restrict('r_name'))", "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region"),
     "concat_distinct": ("U2", "|shop::Customer.all()->project(~[n: x|$x.nationKey])->concatenate(shop::Supplier.all()->project(~[m: x|$x.nationKey]))->distinct()", "SELECT c_nationkey AS n FROM customer UNION SELECT s_nationkey FROM supplier"),
-    "arithmetic": ("F1 F4 F5", "|shop::Part.all()->project(~[k: x|$x.key, a: x|$x.size + 1, b: x|$x.size / 4, c: x|-$x.size, d: x|($x.price - 1) * 2, s: x|$x.brand + '/' + $x.kind])", "SELECT p_partkey AS k, p_size + 1 AS a, p_size / 4.0::DOUBLE AS b, -p_size AS c, (p_retailprice - 1) * 2 AS d, p_brand || '/' || p_type AS s FROM part"),
+    "arithmetic": ("F1 F4 F5", "|shop::Part.all()->project(~[k: x|$x.key, a: x|$x.size + 1, b: x|$x.size / 4, c: x|-$x.size, d: x|($x.price - 1) * 2, s: x|$x.brand + '/' + $x.kind])", "SELECT p_partkey AS k, CAST(p_size AS BIGINT) + 1 AS a, p_size / 4.0::DOUBLE AS b, -p_size AS c, (p_retailprice - 1) * 2 AS d, p_brand || '/' || p_type AS s FROM part"),
     "if_expr": ("F6", "|shop::Customer.all()->project(~[k: x|$x.key, s: x|if($x.balance < 0, |'neg', |'pos')])", "SELECT c_custkey AS k, CASE WHEN c_acctbal < 0 THEN 'neg' ELSE 'pos' END AS s FROM customer"),
     "string_functions": ("F7 F8 F9", "|shop::Nation.all()->project(~[k: x|$x.key->toString(), u: x|$x.name->toUpper(), l: x|$x.name->toLower(), p: x|$x.name->substring(0, 3), q: x|$x.name->substring(2)])", "SELECT CAST(n_nationkey AS VARCHAR) AS k, upper(n_name) AS u, lower(n_name) AS l, substr(n_name, 1, 3) AS p, substr(n_name, 3) AS q FROM nation"),
     "parse_numbers": ("F10", "|shop::Nation.all()->project(~[k: x|$x.key->toString()->parseInteger(), f: x|($x.key->toString() + '.5')->parseFloat()])", "SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_nationkey || '.5' AS DOUBLE) AS f FROM nation"),
