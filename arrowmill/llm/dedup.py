@@ -7,8 +7,9 @@ of 0.85 with a chance of 4e-7.
 
 Copies with equal shingle sets are folded into their smallest doc_id first.
 Within a bucket each document is then compared with the bucket's smallest id
-only, and for each document only with the one it shares most buckets with: a
-group of m near copies costs m comparisons, not m * m. Buckets that still hold
+only, and for each document only with the one it shares most buckets with, if
+their signatures allow the threshold: a group of m near copies costs m
+comparisons, not m * m. Buckets that still hold
 more than one component go into a second round: the documents outside a
 bucket's largest component are compared with all others there that aren't
 linked yet, once per pair over all bands, if their sizes and signatures allow
@@ -42,6 +43,8 @@ BANDS, ROWS = 25, 5
 THRESHOLD = 85
 #: An estimate of the second round may fall short of the threshold by so many standard deviations.
 SLACK = 5.0
+#: Bits of the map that tells which texts a comparison may need: 4 MB.
+MAP_BITS = 1 << 25
 
 _SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig binary"
 
@@ -128,8 +131,23 @@ def _checker(width: int, threshold: int):
     return check
 
 
+def among(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `texts` whose doc_id may be in `ids`, found without moving a text.
+
+    The ids set bits of a map of fixed size, `MAP_BITS`, which is broadcast
+    whatever their number; an id whose bit is set by another passes too. The
+    joins that follow are exact.
+    """
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    bits = ids.select(at("id").alias("p")).groupBy(F.shiftright("p", 15).alias("__part")).agg(F.bitmap_construct_agg((F.col("p") % 32768).cast("bigint")).alias("__map"))
+    found = texts.withColumn("__p", at("doc_id")).join(F.broadcast(bits), F.shiftright("__p", 15) == F.col("__part"))
+    byte = "conv(hex(substring(__map, cast((__p % 32768) div 8 as int) + 1, 1)), 16, 10)"
+    return found.where(F.expr(f"(shiftright(cast({byte} as int), cast(__p % 8 as int)) & 1) = 1")).select(*texts.columns)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
     """The pairs (a, b) that are linked. Both joins share one exchange of the texts; a hot id is split by adaptive execution."""
+    texts = among(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     of = lambda k, t: texts.select(F.col("doc_id").alias(k), F.col("text").alias(t))
     both = pairs.select("a", "b").join(of("b", "tb"), "b").join(of("a", "ta"), "a").select("a", "b", "ta", "tb")
     return both.mapInArrow(_checker(width, threshold), "a long, b long")
@@ -174,7 +192,8 @@ def _agreeing(threshold: int, coordinates: int):
         import pyarrow as pa
 
         for batch in batches:
-            x, y = (np.array([np.frombuffer(s, np.uint8) for s in batch.column(i).to_pylist()]).reshape(-1, coordinates) for i in (2, 3))
+            # Signatures have one width, so a column's bytes are a matrix.
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, coordinates) for i in (2, 3))
             mask = pa.array((x == y).sum(axis=1) >= need)
             yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
@@ -193,22 +212,24 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, threshold: int = THRESHO
     crowded = written(buckets.join(shared, "key").select("key", "rep", "lead"), "buckets")
     votes = crowded.where("rep <> lead").groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("rep").agg(F.max(F.struct("n", -F.col("lead"))).alias("m")).select((-F.col("m.col2")).alias("a"), F.col("rep").alias("b"))
-    first = written(verified(best, texts, width, threshold), "links")
+    alike = lambda p: p.join(of_rep("a", "sa"), "a").join(of_rep("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing(threshold, bands * rows), "a long, b long")
+    of_rep = lambda k, s: reps.select(F.col("rep").alias(k), F.col("sig").alias(s))
+    best = written(best, "best")
+    first = written(verified(written(alike(best), "pairs"), texts, width, threshold), "links")
     linked = written(components(first), "components")
 
     named = lambda c: F.coalesce(F.col(c), F.col("rep"))
-    held = crowded.select("key", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", named("component").alias("c"))
-    held = written(held.join(reps.select("rep", "n_shingles"), "rep"), "held")
+    held = written(crowded.select("key", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", named("component").alias("c")), "held")
     parts = held.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main")
-    mixed = held.join(main, "key")
+    # Signatures ride along, so that unlike pairs end in the join's own stage: only likely ones are moved.
+    mixed = written(held.join(main, "key").join(reps.select("rep", "n_shingles", "sig"), "rep"), "mixed")
     x, y = mixed.where("c <> main").alias("x"), mixed.alias("y")
     sizes = f"100 * least(x.n_shingles, y.n_shingles) >= {threshold} * greatest(x.n_shingles, y.n_shingles)"
     apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep"))) & F.expr(sizes))
-    pairs = apart.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    of = lambda k, s: reps.select(F.col("rep").alias(k), F.col("sig").alias(s))
-    likely = pairs.join(of("a", "sa"), "a").join(of("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing(threshold, bands * rows), "a long, b long")
-    likely = written(likely.join(best, ["a", "b"], "left_anti"), "pairs")
+    sided = apart.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.col("x.sig").alias("sa"), F.col("y.sig").alias("sb"))
+    pairs = sided.mapInArrow(_agreeing(threshold, bands * rows), "a long, b long").distinct()
+    likely = written(pairs.join(best, ["a", "b"], "left_anti"), "pairs")
     if not likely.isEmpty():
         second = written(verified(likely, texts, width, threshold), "links")
         if not second.isEmpty():
