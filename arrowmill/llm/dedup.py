@@ -131,8 +131,8 @@ def _checker(width: int, threshold: int):
     return check
 
 
-def among(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of `texts` whose doc_id may be in `ids`, found without moving a text.
+def among(texts: DataFrame, ids: DataFrame, *, wanted: bool = True) -> DataFrame:
+    """The rows of `texts` whose doc_id may be in `ids` (not `wanted`: surely isn't, or is null), found without moving a text.
 
     The ids set bits of a map of fixed size, `MAP_BITS`, which is broadcast
     whatever their number; an id whose bit is set by another passes too. The
@@ -140,9 +140,10 @@ def among(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
     bits = ids.select(at("id").alias("p")).groupBy(F.shiftright("p", 15).alias("__part")).agg(F.bitmap_construct_agg((F.col("p") % 32768).cast("bigint")).alias("__map"))
-    found = texts.withColumn("__p", at("doc_id")).join(F.broadcast(bits), F.shiftright("__p", 15) == F.col("__part"))
+    found = texts.withColumn("__p", at("doc_id")).join(F.broadcast(bits), F.shiftright("__p", 15) == F.col("__part"), "left")
     byte = "conv(hex(substring(__map, cast((__p % 32768) div 8 as int) + 1, 1)), 16, 10)"
-    return found.where(F.expr(f"(shiftright(cast({byte} as int), cast(__p % 8 as int)) & 1) = 1")).select(*texts.columns)
+    inside = F.expr(f"doc_id is not null and coalesce((shiftright(cast({byte} as int), cast(__p % 8 as int)) & 1) = 1, false)")
+    return found.where(inside if wanted else ~inside).select(*texts.columns)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
@@ -249,7 +250,11 @@ def keep(docs: DataFrame, *, width: int = 5, threshold: int = 80, bands: int = 3
     """One document of each group, with the columns of `docs`; of rows that repeat a doc_id one stays."""
     found = written(near_duplicates(docs, width=width, threshold=threshold, bands=bands, rows=rows), "classes")
     dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    rest = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    dropped = written(dropped, "dropped")
+    ids = dropped.select(F.col("doc_id").alias("id"))
+    # Only texts that may be dropped are moved to be told apart exactly.
+    unsure = among(docs, ids).join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    rest = among(docs, ids, wanted=False).unionByName(unsure)
     # Looked up on narrow rows, so that texts are only grouped by id where some id repeats.
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return rest
