@@ -3,12 +3,14 @@
 A page becomes a tree of elements. Each node's density is its characters per
 tag, adjusted for links: where link text or link tags prevail, the logarithm's
 base grows and the density falls. A node's density sum adds the densities of
-its children. Candidates are nodes of the body in which the chain from the body
-to the densest node reaches the threshold, the least density on the path from
-the body to the node of the largest sum; the subtree of the largest sum is the
-content. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments, known by tag, role, class or id, count as no text
-and are left out; nothing else of the content is dropped.
+its children. An only article or main element with a good share of the text is
+the content. Else it grows from the node of the largest sum towards the body:
+an element around it is taken if it adds text beside it, through wrappers that
+add none. The body, and what stands around an article, is taken if it adds
+running text or a part of like density or size, as sibling sections and
+articles are. Lists of links beside the way are not taken with it. Menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles and reader comments, known by tag, role, class or id, count as
+no text and are left out; nothing else of the content is dropped.
 
 Edge cases: null or empty html, and pages without text, give an empty string;
 unclosed and stray tags are repaired as browsers do for paragraphs, list items
@@ -56,6 +58,11 @@ _CLOSES = {
 _PARAGRAPH_BARRIER = frozenset("div article section main body td th li aside nav header footer form blockquote table ul ol dd button object".split())
 
 
+_CELLS = frozenset("td th tr tbody thead tfoot table".split())
+#: Elements of running text; what stands in one is part of a longer text.
+_TEXTS = frozenset("p li h1 h2 h3 h4 h5 h6 pre blockquote ul ol dl dd dt figure figcaption".split()) | _CELLS | INLINE
+
+
 class Node:
     __slots__ = ("tag", "parent", "children", "drop", "chars", "tags", "link_chars", "link_tags", "sum", "density")
 
@@ -185,26 +192,46 @@ def _measured(root: Node) -> list[Node]:
     return order
 
 
+def _linked(node: Node) -> bool:
+    """Whether a node is a list of links."""
+    return node.link_tags > 1 and 2 * node.link_chars > node.chars
+
+
+def _joins(node: Node, text: Node) -> bool:
+    """Whether a sibling of the text, or of an element around it, belongs to it too: plain text or blocks of text, or a part of like density or size."""
+    return 2 * node.link_chars <= node.chars and (node.tag in _TEXTS or 2 * node.density >= text.density or 5 * node.chars >= text.chars)
+
+
 def content(root: Node) -> Node:
-    """The subtree that holds the main text."""
+    """The subtree that holds the main text; lists of links beside the way to the densest node are marked as dropped."""
     order = _measured(root)
     blocks = [x for x in order if x.tag not in INLINE and x.chars] or [root]
     body = next((x for x in order if x.tag == "body"), root)
+    inner = set()
+    for x in order:
+        if x.parent is not None and (x.parent.tag == "article" or x.parent in inner):
+            inner.add(x)
     for wanted in ("article", "main"):
-        found = [x for x in blocks if x.tag == wanted]
+        found = [x for x in blocks if x.tag == wanted and x not in inner]
         if len(found) == 1 and 3 * found[0].chars >= body.chars - found[0].chars:
             return found[0]
-    best = max(blocks, key=lambda x: x.sum)
-    threshold, up = best.density, best
-    while up is not None and up is not body:
-        threshold, up = min(threshold, up.density), up.parent
-    # Of the nodes on the path, the highest that stays as dense: its siblings' paragraphs belong to the same text.
-    up = best
-    while up.parent is not None and up is not body and up.tag not in ("article", "main") and up.parent.density >= threshold and up.parent.chars > up.chars:
+    up = max(blocks, key=lambda x: x.sum)
+    while up.tag in _TEXTS and up.tag not in _CELLS and up.parent is not None and up is not body:
         up = up.parent
-    if up.tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "td", "tr", "tbody", "ul", "ol", "dl", "dd", "dt") and up.parent is not None:
+    # The highest node on the way to the body that adds text which belongs to it; wrappers that add none are passed.
+    top, beside, spared = up, [], []
+    while up is not body and up.parent is not None:
+        others = [x for x in up.parent.children if x is not up and not isinstance(x, str) and not x.drop and x.chars]
+        beside += [x for x in others if _linked(x)]
+        others = [x for x in others if not _linked(x)]
+        plain = any(isinstance(x, str) and re.search(r"\w", x) for x in up.parent.children)
+        strict = up.parent is body or up.tag in ("article", "main")
+        if plain or any(not strict or _joins(x, top) for x in others):
+            top, spared = up.parent, list(beside)
         up = up.parent
-    return up
+    for x in spared:
+        x.drop = True
+    return top
 
 
 def blocks(node: Node) -> list[str]:

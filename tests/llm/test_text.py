@@ -144,6 +144,25 @@ def test_density_finds_the_article_without_its_tag():
     assert got.count("\n\n") == 8 and "Link" not in got and "Home" not in got
 
 
+def _paragraphs(*names):
+    return "".join(f"<p>{(n + ' says a good deal about its subject. ') * 5}</p>" for n in names)
+
+
+@pytest.mark.parametrize(
+    "page, n",
+    [
+        ("<body><div>" + "".join(f"<div><div>{_paragraphs(*'abc'[:k])}</div></div>" for k in (3, 2, 3)) + "</div>", 8),
+        ("<body><section>" + _paragraphs(*"ab") + "</section><section>" + _paragraphs(*"cde") + "</section>", 5),
+        ("<body><article>" + _paragraphs(*"ab") + "</article><article>" + _paragraphs(*"cde") + "</article>", 5),
+        ("<body><div><ul>" + "<li><a href=x>Menu</a>" * 9 + "</ul><div><div>" + _paragraphs(*"ab") + "</div></div><div><div>" + _paragraphs("c") + "</div></div></div>", 3),
+        ("<body><h1>Title</h1><div>" + _paragraphs(*"ab") + "</div><div>Short line</div>", 4),
+    ],
+)
+def test_sections_beside_the_densest_belong_to_the_text(page, n):
+    got = html_text.main_text(page).split("\n\n")
+    assert len(got) == n and "Menu" not in got
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", 5), (None, None, None, 6), (1, "u", "<p>a</p>", 7)], "page_id long, url string, html string, n_chars int")
     assert sorted(map(tuple, html_text.extract(pages).collect()), key=repr) == sorted([(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0)], key=repr)
