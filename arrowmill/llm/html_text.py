@@ -10,7 +10,11 @@ add none. The body, and what stands around an article, is taken if it adds
 running text or a part of like density or size, as sibling sections and
 articles are. Lists of links beside the way are not taken with it. Menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments, known by tag, role, class or id, count as
-no text and are left out; nothing else of the content is dropped.
+no text and are left out; nothing else of the content is dropped. A class or id
+tells by whole tokens and by compounds of names and places (site-footer), not
+on headings. A name, role or form drops nothing that holds the page's article or
+main element or, where none of weight stands elsewhere, most of its text; if
+else no text is left, all of these stay.
 
 Edge cases: null or empty html, and pages without text, give an empty string;
 unclosed and stray tags are repaired as browsers do for paragraphs, list items
@@ -40,11 +44,22 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements that are never the article's text.
 DROPPED = frozenset("head script style noscript template nav header footer aside form button select option textarea input iframe object embed svg canvas audio video dialog menu noframes noembed xmp title".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
-    r"nav|navbar|navigation|menu|menus|breadcrumb|breadcrumbs|pagination|pager|sidebar|side-bar|aside|widget|widgets|related|recommended|recommendations|trending|share|sharing|social|"
-    r"comment|comments|commentlist|respond|reply|replies|disqus|discussion|footer|header|masthead|topbar|toolbar|copyright|legal|tags|tagcloud|search|searchbox|skip-link|toc)(?:$|[\s_-])"
+_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login "
+    "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar aside widget widgets related recommended recommendations trending share sharing social "
+    "comment comments commentlist respond reply replies disqus discussion footer header masthead topbar toolbar copyright legal tags tagcloud search searchbox side-bar skip-link toc".split()
 )
+#: Names of reader comments, which may hold more text than the article, and article elements.
+_COMMENTS = frozenset("comment comments commentlist respond reply replies disqus".split())
+#: What stands beside a name in a compound that says the same, as in site-footer or comment-list; the second only before it, as in page-header.
+_PLACES = frozenset("site global primary secondary top bottom left right upper lower inner outer list lists box boxes container block blocks area section item items link links bar unit slot group row panel form button buttons posts articles stories news wrap wrapper mobile desktop sticky fixed".split())
+_BEFORE = frozenset("main page post article entry blog".split())
+#: Names that the heading of an article's section may give it.
+_SUBJECTS = frozenset("discussion related search legal notice notices consent copyright tags social sharing share promotion subscription navigation trending".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_PARTS = re.compile(r"[_-]+")
+#: Why a node is left out: never text; by a name, role or form, unless it holds the article; the same of a section's id; reader comments.
+HARD, SOFT, SUBJECT, COMMENTS = 1, 2, 3, 4
 #: A start tag of the left closes an open element of the right, up to the barrier.
 _CLOSES = {
     "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu"))),
@@ -64,29 +79,43 @@ _TEXTS = frozenset("p li h1 h2 h3 h4 h5 h6 pre blockquote ul ol dl dd dt figure
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "chars", "tags", "link_chars", "link_tags", "sum", "density")
+    __slots__ = ("tag", "parent", "children", "drop", "chars", "tags", "link_chars", "link_tags", "sum", "density", "why")
 
-    def __init__(self, tag: str, parent: "Node | None", drop: bool) -> None:
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: "Node | None", drop: bool, why: int = 0) -> None:
+        self.tag, self.parent, self.drop, self.why = tag, parent, drop, why
         self.children: list = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.sum = self.density = 0.0
 
 
-def _dropped(tag: str, attributes: str) -> bool:
+def _named(value: str) -> int:
+    """Whether a token of a class or id names what isn't the article's text."""
+    found = 0
+    for token in value.split():
+        parts = [token] if token in _NAMES else [x for x in _PARTS.split(token) if x and not x.isdigit()]
+        if any(x in _NAMES for x in parts) and all(x in _NAMES or x in _PLACES or not i and x in _BEFORE for i, x in enumerate(parts)):
+            found = max(found, COMMENTS if not _COMMENTS.isdisjoint(parts) else SOFT)
+    return found
+
+
+def _dropped(tag: str, attributes: str) -> int:
+    """Why a node may be left out, or 0."""
     if tag in DROPPED:
-        return True
+        return SOFT if tag == "form" else HARD
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return 0
     if tag in ("body", "html", "article", "main"):
-        return False
+        return 0
+    found = 0
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
-        if name == "role" and value in _ROLES or name in ("class", "id") and _NAMES.search(value) or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", _ATTRIBUTE.sub(" ", attributes)))
+        if name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            return HARD
+        if name == "role" and value in _ROLES:
+            found = max(found, SOFT)
+        elif name in ("class", "id") and tag not in _HEADINGS and (why := _named(value)):
+            found = max(found, SUBJECT if tag == "section" and name == "id" and value in _SUBJECTS and not found else why)
+    return HARD if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", _ATTRIBUTE.sub(" ", attributes)) else found
 
 
 def parse(source: str) -> Node:
@@ -141,7 +170,8 @@ def parse(source: str) -> Node:
             if tag == "body":
                 while node is not root and node.tag != "html":
                     node = node.parent
-        child = Node(tag, node, node.drop or _dropped(tag, m[4] or ""))
+        why = _dropped(tag, m[4] or "")
+        child = Node(tag, node, node.drop or why == HARD, why)
         node.children.append(child)
         if tag in VOID or (m[4] or "").rstrip().endswith("/"):
             continue
@@ -153,6 +183,57 @@ def parse(source: str) -> Node:
     return root
 
 
+def _settled(root: Node) -> None:
+    """Drops what names, roles and forms tell, unless it holds the article; all of it stays if else no text is left."""
+    order, stack, matched = [], [root], False
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        matched = matched or node.why > HARD
+        stack += [c for c in node.children if isinstance(c, Node) and not c.drop]
+    if not matched:
+        return
+    # Of each node: characters, those in links, and those of the largest article or main element, itself included.
+    sizes: dict[Node, tuple[int, int, int]] = {}
+    for node in reversed(order):
+        chars = links = article = 0
+        for c in node.children:
+            if isinstance(c, str):
+                chars += len(_SPACE.sub(" ", c).strip())
+            elif not c.drop:
+                n, k, a = sizes[c]
+                chars, links, article = chars + n, links + k, max(article, a)
+        sizes[node] = chars, chars if node.tag == "a" else links, chars if node.tag in ("article", "main") else article
+    # The largest article outside of all matches.
+    free, stack = 0, [root]
+    while stack:
+        node = stack.pop()
+        if node.tag in ("article", "main"):
+            free = max(free, sizes[node][0])
+        stack += [c for c in node.children if isinstance(c, Node) and not c.drop and c.why <= HARD]
+    chars, links, _ = sizes[root]
+    own = 10 * free >= chars - free
+    kept, dropped, stack = 0, [], [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        n, k, article = sizes[node]
+        if node.why > HARD:
+            holds = article > free or not own and 2 * (n - k) > chars - links
+            prose = node.why == SUBJECT and inside and 2 * k <= n
+            if node.why == COMMENTS or not (holds or prose):
+                dropped.append(node)
+                continue
+        inside = inside or node.tag in ("article", "main")
+        for c in node.children:
+            if isinstance(c, str):
+                kept += not c.isspace()
+            elif not c.drop:
+                stack.append((c, inside))
+    if kept:
+        for node in dropped:
+            node.drop = True
+
+
 def _measured(root: Node) -> list[Node]:
     """All kept nodes, parents first, with densities and sums."""
     order, stack = [], [root]
@@ -204,6 +285,7 @@ def _joins(node: Node, text: Node) -> bool:
 
 def content(root: Node) -> Node:
     """The subtree that holds the main text; lists of links beside the way to the densest node are marked as dropped."""
+    _settled(root)
     order = _measured(root)
     blocks = [x for x in order if x.tag not in INLINE and x.chars] or [root]
     body = next((x for x in order if x.tag == "body"), root)

@@ -163,6 +163,22 @@ def test_sections_beside_the_densest_belong_to_the_text(page, n):
     assert len(got) == n and "Menu" not in got
 
 
+@pytest.mark.parametrize(
+    "page, n",
+    [
+        *((f"<body><div class='{c}'><article>{_paragraphs(*'abc')}</article></div>", 3) for c in ("content-sidebar-wrap", "has-sidebar", "no-sidebar", "modal-page", "sidebar")),
+        (f"<body><form><div>{_paragraphs(*'abc')}</div></form>", 3),
+        (f"<body><form><main>{_paragraphs(*'abc')}<div class='share'>Share</div></main></form>", 3),
+        (f"<body><article>{_paragraphs('a')}<section id='discussion'><h2>Discussion</h2>{_paragraphs('b')}</section><h2 id='related-work'>Work</h2><div id='search-methods'>{_paragraphs('c')}</div></article>", 5),
+        (f"<body><div class='widget'>{_paragraphs('a')}</div><div class='widget'>{_paragraphs('b')}</div>", 2),
+        (f"<body><article>{_paragraphs('a')}</article><div class='related-posts'><article>Teaser</article></div><div id='comments'><article>{_paragraphs(*'bcdefgh')}</article></div><div class='site-footer'>Footer</div>", 1),
+        (f"<body><article>{_paragraphs('a')}<div class='ad-banner'>Buy</div><ul class='nav-menu'><li>Menu</ul><section class='discussion'><p>Reader: nice</section></article>", 1),
+    ],
+)
+def test_names_and_forms_drop_no_article(page, n):
+    assert len(html_text.main_text(page).split("\n\n")) == n
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", 5), (None, None, None, 6), (1, "u", "<p>a</p>", 7)], "page_id long, url string, html string, n_chars int")
     assert sorted(map(tuple, html_text.extract(pages).collect()), key=repr) == sorted([(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0)], key=repr)
