@@ -1,7 +1,7 @@
 """Licence signatures: label, priority, keyword and regex, one a line.
 
 They match lower-cased text whose white space is single spaces. A rule runs
-only where its keyword occurs. Priority 4: an identifier or a clause of the
+only where its keyword occurs, so every match of the regex must hold it. Priority 4: an identifier or a clause of the
 licence text; 3: an explicit grant; 2: the licence's full name; 1: a hint.
 """
 
@@ -36,7 +36,7 @@ apache-1.0 4 spdx-license-identifier spdx-license-identifier: ?apache-1\.0\b
 apache-1.0 2 apache \bapache (?:software )?licen[cs]e,? ?(?:version|v\.?)? ?1\.0\b
 apache 3 apache (?:released|licensed|distributed) under (?:the )?(?:terms of )?(?:the )?apache (?:software )?licen[cs]e\b
 apache 2 apache \bapache (?:software )?licen[cs]e\b
-gpl 4 free software foundation you can redistribute it and/or modify it under the terms of the gnu general public licen[cs]e
+gpl 4 general public licen you can redistribute it and/or modify it under the terms of the gnu general public licen[cs]e
 gpl 4 gnu.org/licenses gnu\.org/licenses/gpl\.html
 gpl-2.0 4 spdx-license-identifier spdx-license-identifier: ?gpl-2\.0(?:-only|-or-later|\+)?(?![\w.])
 gpl-3.0 4 spdx-license-identifier spdx-license-identifier: ?gpl-3\.0(?:-only|-or-later|\+)?(?![\w.])
@@ -243,7 +243,7 @@ pddl-1.0 4 opendatacommons.org opendatacommons\.org/licenses/pddl
 cdla-permissive 2 community data \bcommunity data licen[cs]e agreement\b.{0,4}permissive
 cdla-sharing 2 community data \bcommunity data licen[cs]e agreement\b.{0,4}sharing
 ogl-uk 2 open government \bopen government licen[cs]e\b
-openrail 2 openrail \b(?:creativeml |bigscience )?open ?rail(?:-m|\+\+-m)?\b
+openrail 2 rail \b(?:creativeml |bigscience )?open ?rail(?:-m|\+\+-m)?\b
 bsl-1.1 4 spdx-license-identifier spdx-license-identifier: ?busl-1\.1\b
 bsl-1.1 2 business source \bbusiness source licen[cs]e\b
 sspl-1.0 4 spdx-license-identifier spdx-license-identifier: ?sspl-1\.0\b
@@ -251,7 +251,7 @@ sspl-1.0 2 server side public \bserver side public licen[cs]e\b
 elastic-2.0 2 elastic licen \belastic licen[cs]e(?: 2\.0)?\b
 commons-clause 2 commons clause \bcommons clause licen[cs]e condition\b
 json 4 shall be used for good the software shall be used for good, not evil
-beerware 2 beer-ware \bbeer-?ware licen[cs]e\b
+beerware 2 ware licen \bbeer-?ware licen[cs]e\b
 proprietary 3 all rights reserved \bproprietary and confidential\b.{0,40}all rights reserved\b
 proprietary 1 all rights reserved \ball rights reserved\b
 proprietary 3 unauthorized copying \bunauthorized copying of this (?:file|work|document)\b
@@ -275,9 +275,9 @@ def _parsed() -> list[tuple[str, int, str, str]]:
 
 #: Longest first.
 KEYWORDS = sorted(
-    """permission is hereby granted;shall be included in all;spdx-license-identifier;opensource.org/licenses/mit;mit licen;mit-licensed;expat;x11;mit/x;mit no attribution;apache.org/licenses;you may not use this file;unless required by applicable law;apache licen;apache-2;asl 2;apache;free software foundation;gnu.org/licenses;general public licen;gnu gpl;gpl-licensed;gpl;lesser general public;library general public;gnu lgpl;lgpl;affero general public;gnu agpl;agpl;free documentation;redistribution and use;redistributions of;redistributions in;endorse or promote;all advertising materials;opensource.org/licenses/bsd;simplified bsd;bsd 2-clause;bsd 3-clause;bsd-licensed;bsd;permission to use, copy;opensource.org/licenses/isc;isc licen;origin of this software;zlib;libpng;boost.org;boost software;mozilla.org/mpl;mozilla public;mozilla;mpl;eclipse.org/legal;eclipse public;eclipse distribution;common development and dis;common public licen;ibm public;european union public;eupl;open software licen;academic free;artistic licen;same terms as perl;python software foundation;php licen;ruby licen;zope public;w3c;university of illinois;openssl licen;ssleay;postgresql licen;unicode;icu licen;curl licen;vim licen;scripts.sil.org;sil open font;microsoft public;microsoft reciprocal;wtfpl;do what the;unencumbered;unlicense.org;unlicense;public domain;creativecommons.org;cc0;creative commons zero;creative commons;cc;opendatacommons.org;open database;open data commons;community data;open government;openrail;business source;server side public;elastic licen;commons clause;shall be used for good;beer-ware;all rights reserved;unauthorized copying;dual;copyright;licen""".split(";"),
+    """permission is hereby granted;shall be included in all;spdx-license-identifier;opensource.org/licenses/mit;mit licen;mit-licensed;expat;x11;mit/x;mit no attribution;apache.org/licenses;you may not use this file;unless required by applicable law;apache licen;apache-2;asl 2;apache;gnu.org/licenses;general public licen;gnu gpl;gpl-licensed;gpl;lesser general public;library general public;gnu lgpl;lgpl;affero general public;gnu agpl;agpl;free documentation;redistribution and use;redistributions of;redistributions in;endorse or promote;all advertising materials;opensource.org/licenses/bsd;simplified bsd;bsd 2-clause;bsd 3-clause;bsd-licensed;bsd;permission to use, copy;opensource.org/licenses/isc;isc licen;origin of this software;zlib;libpng;boost.org;boost software;mozilla.org/mpl;mozilla public;mozilla;mpl;eclipse.org/legal;eclipse public;eclipse distribution;common development and dis;common public licen;ibm public;european union public;eupl;open software licen;academic free;artistic licen;same terms as perl;python software foundation;php licen;ruby licen;zope public;w3c;university of illinois;openssl licen;ssleay;postgresql licen;unicode;icu licen;curl licen;vim licen;scripts.sil.org;sil open font;microsoft public;microsoft reciprocal;wtfpl;do what the;unencumbered;unlicense.org;unlicense;public domain;creativecommons.org;cc0;creative commons zero;creative commons;cc;opendatacommons.org;open database;open data commons;community data;open government;rail;business source;server side public;elastic licen;commons clause;shall be used for good;ware licen;all rights reserved;unauthorized copying;dual;copyright;licen""".split(";"),
     key=lambda k: (-len(k), k),
 )
 RULES = _parsed()
 #: Of these words one stands in whatever a rule matches, or the text holds none.
-GATES = ("licen", "permission", "copyright", "apache", "gnu", "gpl", "redistribution", "bsd", "mozilla", "public domain", "creative", "cc by", "cc-by", "cc0", "mpl", "eupl", "asl 2", "endorse", "advertising", "origin of", "boost.org", "eclipse.org", "scripts.sil", "wtfpl", "opendatacommons", "openrail", "rights reserved", "unauthorized", "same terms as perl", "used for good", "unencumbered", "applicable law", "community data", "business source", "pen rail")
+GATES = ("licen", "permission", "no attribution", "copyright", "apache", "gnu", "gpl", "redistribution", "bsd", "mozilla", "public domain", "creative", "cc by", "cc-by", "cc0", "mpl", "eupl", "asl 2", "endorse", "advertising", "origin of", "boost.org", "eclipse.org", "scripts.sil", "wtfpl", "opendatacommons", "openrail", "rights reserved", "unauthorized", "same terms as perl", "used for good", "unencumbered", "applicable law", "community data", "business source", "pen rail")

@@ -1,6 +1,7 @@
 """Decontamination, licences, HTML, language, toxicity, chats."""
 
 import random
+import itertools
 import re
 from collections import Counter
 
@@ -8,7 +9,7 @@ import pytest
 
 from arrowmill.llm import chat, decontaminate, html_text, lang_id, licenses, toxicity
 from arrowmill.llm.common import table
-from arrowmill.llm.license_rules import RULES, STRENGTH
+from arrowmill.llm.license_rules import GATES, RULES, STRENGTH
 
 
 # -- decontamination
@@ -118,6 +119,44 @@ def test_rules_compile_and_hold_a_gate_word():
         re.compile(rule)
 
 
+def forms(parsed):
+    """Strings that a parsed regex matches: each way through its options and alternatives, with one character for each class of them."""
+    found = [""]
+    for op, x in parsed:
+        match str(op):
+            case "LITERAL":
+                own = [chr(x)]
+            case "AT" | "ASSERT" | "ASSERT_NOT":
+                own = [""]
+            case "ANY" | "NOT_LITERAL":
+                own = ["~"]
+            case "IN":
+                own = [chr(v) if str(k) == "LITERAL" else "1" if str(v) == "CATEGORY_DIGIT" else "~" for k, v in x]
+            case "MAX_REPEAT":
+                own = ["".join(t) for n in {x[0], max(x[0], 1)} for t in itertools.product(forms(x[2]), repeat=n)]
+            case "SUBPATTERN":
+                own = forms(x[3])
+            case "BRANCH":
+                own = [s for b in x[1] for s in forms(b)]
+            case _:
+                raise ValueError(op)
+        found = [a + b for a in found for b in own]
+    return found
+
+
+def test_every_match_of_a_rule_holds_its_keyword_and_a_gate_word():
+    for _, _, keyword, rule in RULES:
+        for s in forms(re._parser.parse(rule)):
+            assert keyword in s and any(g in s for g in GATES), (rule, s)
+
+
+def test_names_that_the_prefilters_missed(make):
+    texts = ["MIT No Attribution", "BigScience Open RAIL", "CreativeML Open RAIL-M", "Beerware License", "You can redistribute it and/or modify it under the terms of the GNU General Public License"]
+    got = {r.doc_id: r.labels for r in licenses.scan(make([(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert got == {0: "mit-0", 1: "openrail", 2: "openrail", 3: "beerware", 4: "gpl"}
+    assert [scanned(t)[5] for t in texts] == [got[i] for i in range(5)]
+
+
 # -- HTML
 
 
