@@ -59,7 +59,7 @@ _CLAUSE = re.compile(r"[.!?;:\n,]+")
 
 
 class Lexicon:
-    """Insult stems (a trailing $: whole words) with weights."""
+    """Insult stems (a trailing $: whole words) with weights; the gate finds them in the words of _WORD and nowhere else."""
 
     def __init__(self, stems: dict[str, float]) -> None:
         self.stems = stems
@@ -70,7 +70,7 @@ class Lexicon:
             for c in s:
                 at = at.setdefault(c, {})
             at[""] = {}
-        self.gate = re.compile(r"\b" + _trie_pattern(trie)) if trie else None
+        self.gate = re.compile(r"(?<![^\W\d_])" + _trie_pattern(trie)) if trie else None
 
     def weight(self, word: str) -> float:
         found = self.stems.get(word + "$", 0.0)
@@ -90,7 +90,7 @@ class Lexicon:
 def _trie_pattern(trie: dict) -> str:
     if "" in trie:
         return ""
-    options = [r"(?!\w)" if c == "$" else re.escape(c) + _trie_pattern(rest) for c, rest in sorted(trie.items())]
+    options = [r"(?![^\W\d_])" if c == "$" else re.escape(c) + _trie_pattern(rest) for c, rest in sorted(trie.items())]
     return options[0] if len(options) == 1 else "(?:" + "|".join(options) + ")"
 
 

@@ -258,6 +258,15 @@ def test_grammar_scores_clauses():
     assert w[2] > w[1] > w[3]
 
 
+@pytest.mark.parametrize("frame", ["_{}_", "2{}", "{}3", "__{}", "{}_", "x_{}_y", "²{}", "x{}", "{}x", "é{}"])
+def test_gate_accepts_the_words_of_the_tokenizer(frame):
+    lexicon = toxicity.Lexicon({"moron": 5.0, "idiot$": 2.0})
+    for word in ("moron", "idiot", "kill"):
+        text = "you " + frame.format(word)
+        told = any(lexicon.classed(w)[0] in ("insult", "threat") for w in toxicity._WORD.findall(text))
+        assert bool(lexicon.gate.search(text)) == told == any(toxicity.features(text, lexicon)), text
+
+
 def test_toxicity_learns_and_generalises(make, labels):
     r = random.Random(4)
     word = lambda: "".join(r.choice("bcdfghjklm") + r.choice("aeiou") for _ in range(3))
