@@ -280,8 +280,9 @@ class Compiler:
         raise AnalysisError(Rule.ARGUMENT_KIND, "a value is expected")
 
     def subquery(self, frame: Frame, name: str) -> Value:
+        """The one row of `frame`; several fail when it runs, as in SQL."""
         v = frame.column(name)
-        return Value(frame.df.select(v.col).limit(1).scalar(), v.type, OPTIONAL)
+        return Value(frame.df.select(v.col).scalar(), v.type, OPTIONAL)
 
     def call(self, function: ast.Node, *args, env: dict):
         if not isinstance(function, ast.Lambda):
