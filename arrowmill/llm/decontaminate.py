@@ -9,18 +9,21 @@ the weighted five-word shingles (weight: a shingle's count) must reach 0.8.
 
 A window that shares no shingle with an item can't reach any similarity with
 it, so windows are only laid where one is shared, aligned to the shingle's
-places in the item; that loses nothing. Shingles are looked up by hash in a
-table of the benchmark's, which is broadcast only if its item count is within
-`MOST_ITEMS`; beyond it the same join is shuffled.
+places in the item; that loses nothing. A window is compared with the item that
+laid it, so windows of items of other lengths at the same place don't mix.
 
-All sides of the documents stay in the scan's partitions up to the windows; no
-document's text is shuffled, nor its shingles, unless they meet the benchmark.
+Documents are scanned in place: a map of fixed size tells which of their
+shingles may be the benchmark's, and only these are moved, as a number and a
+hash. Where windows were laid the text is looked up afterwards. No side is
+broadcast but the map; whether the tables of the benchmark are small enough to
+be is for Catalyst to tell by their size, and beyond that the same joins are
+shuffled.
 
 Edge cases: null and empty texts and items match nothing; an item of fewer than
 five words is one shingle; windows at a text's start or end are cut there;
-items that repeat are found each; repeated documents are reported once per
-doc_id, and a null doc_id can't be reported but is dropped by `keep` all the
-same, since that judges each row by its own text.
+items that repeat are found each, a null item_id too; rows of one doc_id are
+judged each by its own text and reported together, repeated rows once; a null
+doc_id can't be reported but is dropped by `keep` all the same.
 """
 
 from __future__ import annotations
@@ -28,13 +31,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words_sql, written
+from .common import among, let, words_sql, written
 
 WIDTH = 5
 LEAST = 0.8
 BITS = 64
-RADIUS = 15
-MOST_ITEMS = 20_000
+RADIUS = 24
 
 
 def _hashed(text: str) -> str:
@@ -63,10 +65,11 @@ def blocks_sql(f: str, radius: int = RADIUS) -> str:
 
 
 def prepared(items: DataFrame) -> DataFrame:
-    """item_id, m, width, word hashes, shingles and fingerprint of the items that have words."""
+    """A number, item_id, m, width, word hashes, shingles and fingerprint of the items that have words; equal ones of one item_id are one."""
     hashed = items.select("item_id", F.expr(_hashed("coalesce(text, '')")).alias("h")).where("size(h) > 0").dropDuplicates()
     short = " ".join(f"when size(h) = {k} then {_shingles('h', k)}" for k in range(1, WIDTH))
-    return written(hashed.selectExpr("item_id", "h", "size(h) as m", f"least({WIDTH}, size(h)) as width", f"case {short} else {_shingles('h', WIDTH)} end as s", f"{simhash_sql('h')} as f"), "items")
+    # Items have numbers of their own, which stay as the table is written: item_id may be null or repeat.
+    return written(hashed.selectExpr("monotonically_increasing_id() as item", "item_id", "h", "size(h) as m", f"least({WIDTH}, size(h)) as width", f"case {short} else {_shingles('h', WIDTH)} end as s", f"{simhash_sql('h')} as f"), "items")
 
 
 def _weighted(a: str, b: str) -> str:
@@ -82,42 +85,52 @@ def _weighted(a: str, b: str) -> str:
 
 
 def matches(docs: DataFrame, items: DataFrame, *, key: list[str], radius: int = RADIUS, least: float = LEAST) -> DataFrame:
-    """key, item_id, start and similarity of each verified window; `key` names columns of `docs` to carry."""
+    """key, item_id, start and similarity of each verified window of `docs` (key, text); `key` names columns that tell rows of unlike texts apart."""
     known = prepared(items)
-    # Bounded: distinct widths are 1 to 5.
-    widths = sorted(r[0] for r in known.select("width").distinct().collect())
-    small = known.count() <= MOST_ITEMS
-    hint = F.broadcast if small else (lambda x: x)
-    places = known.select("item_id", "m", "width", F.posexplode("s").alias("at", "s"))
-    # A shingle may stand in an item more than once; each place lays its own window.
+    places = written(known.select("item", "m", "width", F.posexplode("s").alias("at", "s")), "places")
     hashed = docs.select(*key, F.expr(_hashed("coalesce(text, '')")).alias("h"))
-    hits = None
-    for width in widths:
-        own = hint(places.where(F.col("width") == width).select("item_id", "m", "at", F.col("s").alias("__s")))
-        rolled = hashed.select(*key, "h", F.posexplode(F.expr(_shingles("h", width))).alias("p", "v"))
-        found = rolled.join(own, F.col("v") == F.col("__s")).select(*key, "item_id", F.expr("greatest(p - at, 0)").alias("start"), F.expr("slice(h, greatest(p - at, 0) + 1, m)").alias("w"))
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        return docs.where(F.lit(False)).select(*key, F.lit(0).cast("bigint").alias("item_id"), F.lit(0).alias("start"), F.lit(0.0).alias("similarity"))
-    windows = written(hits.dropDuplicates([*key, "item_id", "start"]).withColumn("f", F.expr(simhash_sql("w"))), "windows")
-    blocks = known.select(F.col("item_id").alias("__i"), F.col("f").alias("__f"), F.inline(F.expr(blocks_sql("f", radius))).alias("__no", "__value"))
-    cut = windows.select(*key, "item_id", "start", "w", "f", F.inline(F.expr(blocks_sql("f", radius))).alias("no", "value"))
-    met = cut.join(hint(blocks), (F.col("no") == F.col("__no")) & (F.col("value") == F.col("__value"))).where(F.expr(f"bit_count(f ^ __f) <= {radius}"))
-    near = met.groupBy(*key, "__i", "start").agg(F.first("w").alias("w"))
-    sides = near.join(hint(known.select("item_id", "width", "s")), F.col("__i") == F.col("item_id"))
+    # Bounded: distinct widths are 1 to 5. What a place holds of the document ends here: its number and its shingle.
+    found = None
+    for width in sorted(r[0] for r in known.select("width").distinct().collect()):
+        own = places.where(F.col("width") == width).select("item", "m", "at", F.col("s").alias("__s"))
+        rolled = hashed.select(*key, F.posexplode(F.expr(_shingles("h", width))).alias("p", "v"))
+        # A map of fixed size leaves the places that may hold a shingle of the benchmark; the join after it is exact.
+        met = among(rolled, ["v"], own.select("__s").distinct()).join(own, F.col("v") == F.col("__s"))
+        starts = met.select(*key, "item", "m", F.expr("greatest(p - at, 0)").alias("start"))
+        found = starts if found is None else found.unionByName(starts)
+    if found is None:
+        return docs.where(F.lit(False)).select(*key, F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("start"), F.lit(0.0).alias("similarity"))
+    # Each window of a document stands once for an item, however many shingles lead to it.
+    laid = written(found.distinct(), "laid")
+    rows = among(docs.select(*key, "text"), key, laid.select(*key)).groupBy(*key).agg(F.first("text").alias("text")).select(*key, F.expr(_hashed("coalesce(text, '')")).alias("h"))
+    windows = laid.join(rows, key).select(*key, "item", "start", F.expr("slice(h, start + 1, m)").alias("w")).withColumn("f", F.expr(simhash_sql("w")))
+    windows = written(windows, "windows")
+    blocks = known.select("item", F.col("f").alias("__f"), F.inline(F.expr(blocks_sql("f", radius))).alias("no", "value"))
+    cut = windows.select(*key, "item", "start", "f", F.inline(F.expr(blocks_sql("f", radius))).alias("no", "value"))
+    near = cut.join(blocks, ["item", "no", "value"]).where(F.expr(f"bit_count(f ^ __f) <= {radius}")).select(*key, "item", "start").distinct()
+    sides = near.join(windows.select(*key, "item", "start", "w"), [*key, "item", "start"]).join(known.select("item", "item_id", "width", "s"), "item")
     of_window = " ".join(f"when width = {k} then {_shingles('w', k)}" for k in range(1, WIDTH))
     return sides.withColumn("similarity", F.expr(_weighted(f"case {of_window} else {_shingles('w', WIDTH)} end", "s"))).where(F.col("similarity") >= least).select(*key, "item_id", "start", "similarity")
 
 
+def _told(docs: DataFrame, *columns: str) -> DataFrame:
+    """`docs` with a hash that tells texts apart."""
+    return docs.select(*columns, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("__text"), "text")
+
+
 def report(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """doc_id, item_id, the place of the best window and its similarity, for every document that holds an item."""
-    found = matches(docs.where("doc_id is not null"), items, key=["doc_id"], **how)
+    """doc_id, item_id, the place of the best window (words, from 0) and its similarity, for every document that holds an item."""
+    found = matches(_told(docs.where("doc_id is not null"), "doc_id"), items, key=["doc_id", "__text"], **how)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("place"))).alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b.place")).cast("long").alias("start_word"), F.col("b.similarity").alias("similarity"))
 
 
 def keep(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """The documents that hold no item, with the columns of `docs`; rows are told apart by a hash of their text."""
+    """The rows that hold no item, with the columns of `docs`; they are told apart by a hash of their text.
+
+    Only rows that a map can't clear are moved to be told apart exactly.
+    """
+    leaks = written(matches(_told(docs), items, key=["__text"], **how).select("__text").distinct(), "leaks")
     tagged = docs.withColumn("__text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    found = matches(tagged.select("__text", "text"), items, key=["__text"], **how).select("__text").distinct()
-    return tagged.join(written(found, "leaks"), "__text", "left_anti").select(*docs.columns)
+    unsure = among(tagged, ["__text"], leaks).join(leaks, "__text", "left_anti")
+    return among(tagged, ["__text"], leaks, wanted=False).unionByName(unsure.select(*tagged.columns)).select(*docs.columns)

@@ -5,24 +5,30 @@ shingles once, and coordinate k is the least pi(sigma(x) + k), that is pi
 shifted circularly by k. 25 bands of 5 coordinates miss a pair at the threshold
 of 0.85 with a chance of 4e-7.
 
-Copies with equal shingle sets are folded into their smallest doc_id first.
-Within a bucket each document is then compared with the bucket's smallest id
-only, and for each document only with the one it shares most buckets with, if
-their signatures allow the threshold: a group of m near copies costs m
-comparisons, not m * m. Buckets that still hold
-more than one component go into a second round: the documents outside a
-bucket's largest component are compared with all others there that aren't
-linked yet, once per pair over all bands, if their sizes and signatures allow
-the threshold. So no link between components is lost, and none that can't
-change a component is looked for. Links are confirmed on whole shingle sets.
+Copies with equal shingle sets are folded into one node first. In the first
+round each node is compared with the least node of one bucket, the one it shares
+most buckets with: a group of m near copies costs m comparisons, not m * m.
+Buckets that still hold more than one component go into a second round. There a
+bucket's nodes are cut into pieces of bounded size by their number of shingles
+and a hash. Two pieces meet in one task if their sizes allow the threshold and
+not both lie in the bucket's largest component. A first pass over signatures
+tells which nodes have a likely partner outside their component, each pair in
+the first bucket it shares only; a second compares the whole shingle sets of
+these. Both passes emit at most a row for each row they read, so no list of
+pairs ever grows as a bucket's square. Signatures rule a linked pair out with a
+chance of `MISS` at most, by the exact binomial tail. Links are confirmed on
+whole shingle sets.
 
 Components come from alternating large-star and small-star steps over the
-links, each a distributed aggregation and join; nothing reaches the driver but
-counts.
+links, each a distributed aggregation and join, until nothing changes; nothing
+reaches the driver but counts.
+
+A row is known by its doc_id and a hash of its text, so rows of one id with
+different texts are told apart. doc_id may be of any type that can be ordered.
 
 Edge cases: texts without words are linked with nothing; a null doc_id is
 linked with nothing, has a null component and is kept; repeated rows of one id
-count as one document, and each row gets its result.
+and text count as one document, and each row gets its result.
 """
 
 from __future__ import annotations
@@ -32,8 +38,9 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ships, written
+from .common import among, settled, ships, written
 from .shingles import Hasher, mix64
 
 ships(__name__)
@@ -41,13 +48,12 @@ ships(__name__)
 BANDS, ROWS = 25, 5
 #: Percent that the intersection must be of the union.
 THRESHOLD = 85
-#: An estimate of the second round may fall short of the threshold by so many standard deviations.
-SLACK = 5.0
-#: Bits of the map that tells which texts a comparison may need: 4 MB.
-MAP_BITS = 1 << 25
-
-_SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig binary"
-
+#: Chance at which signatures may rule out a pair at the threshold.
+MISS = 1e-9
+#: Nodes and shingles that a piece of a bucket holds, about.
+PIECE_ROWS, PIECE_SHINGLES = 4096, 1 << 21
+#: Pairs whose signatures are compared at a time.
+TILE = 1 << 20
 
 def _scatter(x: np.ndarray, shift: np.ndarray, tmp: np.ndarray) -> np.ndarray:
     """The finaliser of a 32-bit hash, a bijection, in place."""
@@ -80,8 +86,7 @@ def _signer(width: int, bands: int, rows: int):
 
         hasher = Hasher(width)
         for batch in batches:
-            ids = batch.column(0)
-            for a, b, hashes, places in hasher.batches(batch.column(1)):
+            for a, b, hashes, places in hasher.batches(batch.column(2)):
                 n = np.diff(places)
                 full = n > 0
                 sig = signatures(hashes, places, bands, rows)
@@ -96,65 +101,162 @@ def _signer(width: int, bands: int, rows: int):
                         k[full] = np.add.reduceat(mix64(hashes + np.uint64(seed)), places[:-1][full])
                     folded.append(k.view(np.int64))
                 offsets = np.concatenate(([0], np.cumsum(full * bands))).astype(np.int32)
-                small = (sig & np.uint32(255)).astype(np.uint8)
-                rows_of = iter(small)
+                rows_of = iter((sig & np.uint32(255)).astype(np.uint8))
                 yield pa.record_batch(
-                    [ids.slice(a, b - a).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(folded[0]), pa.array(folded[1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())), pa.array([next(rows_of).tobytes() if f else None for f in full], pa.binary())],
-                    names=["doc_id", "n_shingles", "k1", "k2", "bands", "sig"],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(folded[0]), pa.array(folded[1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())), pa.array([next(rows_of).tobytes() if f else None for f in full], pa.binary())],
+                    names=["doc_id", "th", "n_shingles", "k1", "k2", "bands", "sig"],
                 )
 
     return sign
 
 
-def _checker(width: int, threshold: int):
-    def check(batches):
+def least_agreement(threshold: int, coordinates: int, miss: float = MISS) -> int:
+    """How many coordinates of a pair at the threshold agree but for a chance of `miss`, by the exact binomial tail."""
+    p, tail = threshold / 100, 0.0
+    for k in range(coordinates + 1):
+        tail += math.comb(coordinates, k) * p**k * (1 - p) ** (coordinates - k)
+        if tail > miss:
+            return k
+    return coordinates
+
+
+def _matrix(column, width: int) -> np.ndarray:
+    """A binary column of equal widths as rows of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+
+
+def _agreeing(threshold: int, coordinates: int):
+    """Of the rows a, b, n, and two signatures those that may be linked."""
+    need = least_agreement(threshold, coordinates)
+
+    def agree(batches):
         import pyarrow as pa
 
-        hasher = Hasher(width)
         for batch in batches:
-            got = []
-            for column in (batch.column(2), batch.column(3)):
-                sets = []
-                for a, b, hashes, places in hasher.batches(column):
-                    sets += [hashes[places[i] : places[i + 1]] for i in range(b - a)]
-                got.append(sets)
-            linked = []
-            for x, y in zip(*got):
-                both = len(x) + len(y)
-                merged = np.concatenate((x, y))
-                merged.sort(kind="stable")
-                common = int(np.count_nonzero(merged[1:] == merged[:-1]))
-                linked.append(common > 0 and 100 * common >= threshold * (both - common))
-            mask = pa.array(linked, pa.bool_())
-            yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
-
-    return check
-
-
-def among(texts: DataFrame, ids: DataFrame, *, wanted: bool = True) -> DataFrame:
-    """The rows of `texts` whose doc_id may be in `ids` (not `wanted`: surely isn't, or is null), found without moving a text.
-
-    The ids set bits of a map of fixed size, `MAP_BITS`, which is broadcast
-    whatever their number; an id whose bit is set by another passes too. The
-    joins that follow are exact.
-    """
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
-    bits = ids.select(at("id").alias("p")).groupBy(F.shiftright("p", 15).alias("__part")).agg(F.bitmap_construct_agg((F.col("p") % 32768).cast("bigint")).alias("__map"))
-    found = texts.withColumn("__p", at("doc_id")).join(F.broadcast(bits), F.shiftright("__p", 15) == F.col("__part"), "left")
-    byte = "conv(hex(substring(__map, cast((__p % 32768) div 8 as int) + 1, 1)), 16, 10)"
-    inside = F.expr(f"doc_id is not null and coalesce((shiftright(cast({byte} as int), cast(__p % 8 as int)) & 1) = 1, false)")
-    return found.where(inside if wanted else ~inside).select(*texts.columns)
+            mask = pa.array((_matrix(batch.column(3), coordinates) == _matrix(batch.column(4), coordinates)).sum(axis=1) >= need)
+            yield pa.record_batch([batch.column(i).filter(mask) for i in range(3)], names=["a", "b", "n"])
+
+    return agree
+
+
+def _groups(batches):
+    """Runs of rows with equal first three columns, as a key and the parts of batches that hold them."""
+    key, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:]):
+            own = tuple(keys[a].tolist())
+            if own != key and parts:
+                yield key, parts
+                parts = []
+            key = own
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield key, parts
+
+
+def _likely(threshold: int, coordinates: int, bands: int):
+    """Of a group's rows those that may be linked with a row of another component on the other side."""
+    need = least_agreement(threshold, coordinates)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for (key, u1, u2), parts in _groups(batches):
+            table = pa.Table.from_batches(parts).combine_chunks()
+            if table.num_rows < 2:
+                continue
+            side, node, c, n, tried = (table.column(i).to_numpy() for i in range(3, 8))
+            sig = _matrix(table.column(8), coordinates)
+            band = table.column(9).combine_chunks().flatten().to_numpy().reshape(-1, bands)
+            first = np.flatnonzero(side == 0)
+            second = first if u1 == u2 else np.flatnonzero(side == 1)
+            hit = np.zeros(len(node), bool)
+            wide = np.ascontiguousarray(sig[second].T)
+            step = max(1, TILE // max(1, len(second)))
+            for at in range(0, len(first), step):
+                x = first[at : at + step]
+                agree = np.zeros((len(x), len(second)), np.uint16)
+                for k in range(coordinates):
+                    agree += sig[x, k, None] == wide[k]
+                likely = (agree >= need) & (c[x, None] != c[second]) & (100 * np.minimum(n[x, None], n[second]) >= threshold * np.maximum(n[x, None], n[second]))
+                likely &= (tried[x, None] != node[second]) & (node[x, None] != tried[second])
+                if u1 == u2:
+                    likely &= np.arange(at, at + len(x))[:, None] < np.arange(len(second))
+                i, j = np.nonzero(likely)
+                for lo in range(0, len(i), TILE // 32):
+                    p, q = x[i[lo : lo + TILE // 32]], second[j[lo : lo + TILE // 32]]
+                    at_first = (band[p] == band[q]).argmax(axis=1)
+                    here = band[p, at_first] == key
+                    hit[p[here]] = hit[q[here]] = True
+            if hit.any():
+                chosen = np.flatnonzero(hit)
+                k = len(chosen)
+                yield pa.record_batch([pa.array(np.full(k, key)), pa.array(np.full(k, u1)), pa.array(np.full(k, u2)), pa.array(side[chosen]), pa.array(node[chosen]), pa.array(c[chosen])], names=["key", "u1", "u2", "side", "node", "c"])
+
+    return run
+
+
+def _find(root: dict, x: int) -> int:
+    """The root of x, whose path is halved on the way."""
+    while root.get(x, x) != x:
+        root[x] = x = root.get(root[x], root[x])
+    return x
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) that are linked. Both joins share one exchange of the texts; a hot id is split by adaptive execution."""
-    texts = among(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    of = lambda k, t: texts.select(F.col("doc_id").alias(k), F.col("text").alias(t))
-    both = pairs.select("a", "b").join(of("b", "tb"), "b").join(of("a", "ta"), "a").select("a", "b", "ta", "tb")
-    return both.mapInArrow(_checker(width, threshold), "a long, b long")
+def _linker(width: int, threshold: int, coordinates: int):
+    """Links of the groups whose rows come with their texts, first side first; of the links between two components one.
 
+    Only the first side's sets are held; of the second a slice of texts at a time.
+    """
+    need = least_agreement(threshold, coordinates)
+
+    def run(batches):
+        import pyarrow as pa
 
-def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
+        hasher = Hasher(width)
+        now = None
+        for batch in batches:
+            g, u1, u2, side, nodes, labels = (batch.column(i).to_numpy() for i in range(6))
+            sigs, links = _matrix(batch.column(6), coordinates), []
+            for a, b, hashes, places in hasher.batches(batch.column(7)):
+                for i in range(a, b):
+                    if (key := (g[i], u1[i], u2[i])) != now:
+                        now, held, node, label, root = key, [], [], [], {}
+                        known, n = np.zeros((8, coordinates), np.uint8), np.zeros(8, np.int64)
+                    own, m = hashes[places[i - a] : places[i - a + 1]], len(held)
+                    if side[i] == 1 or u1[i] == u2[i]:
+                        size = n[:m]
+                        for j in np.flatnonzero(((known[:m] == sigs[i]).sum(axis=1) >= need) & (100 * np.minimum(size, len(own)) >= threshold * np.maximum(size, len(own)))).tolist():
+                            x, y = _find(root, label[j]), _find(root, labels[i])
+                            if x != y and linked(own, held[j], threshold):
+                                root[x] = y
+                                links.append((node[j], nodes[i]))
+                    if side[i] == 0:
+                        if m == len(n):
+                            known, n = np.concatenate((known, np.zeros_like(known))), np.concatenate((n, np.zeros_like(n)))
+                        known[m], n[m] = sigs[i], len(own)
+                        held.append(own.copy())  # not a view that would hold the whole slice
+                        node.append(nodes[i])
+                        label.append(labels[i])
+            yield pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    both = len(x) + len(y)
+    merged = np.concatenate((x, y))
+    merged.sort(kind="stable")
+    common = int(np.count_nonzero(merged[1:] == merged[:-1]))
+    return common > 0 and 100 * common >= threshold * (both - common)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node it reaches) for every node of `edges` (a, b)."""
 
     def both_ways(e: DataFrame) -> DataFrame:
@@ -165,7 +267,7 @@ def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
 
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = mark(edges)
-    for _ in range(most_steps):
+    while True:
         und = both_ways(edges)
         least = und.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = und.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -177,85 +279,112 @@ def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
         if after == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before = after
-    raise RuntimeError("components did not settle")
 
+def _links(rows: DataFrame, reps: DataFrame, texts: DataFrame, linker) -> DataFrame:
+    """The links (a, b) of `rows` (key, u1, u2, side, node, c). Only texts that a map can't rule out are moved; a row that repeats moves once from its partition."""
+    known = rows.join(reps.select("node", "doc_id", "th", "sig"), "node")
+    moved = among(texts, ["doc_id", "th"], known.select("doc_id", "th")).groupBy("doc_id", "th").agg(F.first("text").alias("text"))
+    keys = ["key", "u1", "u2"]
+    ready = known.join(moved, ["doc_id", "th"]).select(*keys, "side", "node", "c", "sig", "text").repartition(*keys).sortWithinPartitions(*keys, "side")
+    return written(ready.mapInArrow(linker, "a long, b long"), "links")
 
-def _alike(threshold: int, coordinates: int) -> int:
-    """How many of the 8-bit coordinates must agree for the second round to compare a pair."""
-    p = threshold / 100 + (1 - threshold / 100) / 256
-    return math.floor(coordinates * p - SLACK * math.sqrt(coordinates * p * (1 - p)))
 
+def _pieces(mixed: DataFrame, threshold: int) -> DataFrame:
+    """The rows of buckets of several components (key, node, c, main, n) in each pair of pieces in which they stand: key, u1, u2, side, node, c.
 
-def _agreeing(threshold: int, coordinates: int):
-    need = _alike(threshold, coordinates)
-
-    def agree(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            # Signatures have one width, so a column's bytes are a matrix.
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, coordinates) for i in (2, 3))
-            mask = pa.array((x == y).sum(axis=1) >= need)
-            yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+    A piece's number holds whether it is of the main component, the class of
+    its sizes and a count; sizes of unlike classes that don't touch can't reach
+    the threshold.
+    """
+    rows = mixed.withColumn("rest", (F.col("c") != F.col("main")).cast("int")).withColumn("cl", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / threshold)).cast("int"))
+    counted = rows.groupBy("key", "rest", "cl").agg(F.greatest(F.ceil(F.count(F.lit(1)) / PIECE_ROWS), F.ceil(F.sum("n") / PIECE_SHINGLES)).cast("int").alias("pieces"))
+    own = rows.join(counted, ["key", "rest", "cl"]).withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")))
+    other = counted.select(F.col("key").alias("k2"), F.col("rest").alias("r2"), F.col("cl").alias("cl2"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("p2"))
+    met = own.join(other, (F.col("key") == F.col("k2")) & (F.col("rest") + F.col("r2") > 0) & (F.abs(F.col("cl") - F.col("cl2")) <= 1))
+    code = lambda rest, cl, piece: F.shiftleft(F.col(rest).cast("bigint"), 60) + F.shiftleft(F.col(cl).cast("bigint"), 44) + F.col(piece)
+    coded = met.withColumn("x", code("rest", "cl", "piece")).withColumn("y", code("r2", "cl2", "p2"))
+    return coded.select("key", F.least("x", "y").alias("u1"), F.greatest("x", "y").alias("u2"), (F.col("x") > F.col("y")).cast("int").alias("side"), "node", "c", "n")
+
+
+def _components_of(docs: DataFrame, *, width: int, threshold: int, bands: int, rows: int) -> DataFrame:
+    texts = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"), "text")
+    own_id = texts.schema["doc_id"].dataType
+    long, coordinates = T.LongType(), bands * rows
+    schema = T.StructType([T.StructField("doc_id", own_id)] + [T.StructField(c, long) for c in ("th", "n_shingles", "k1", "k2")] + [T.StructField("bands", T.ArrayType(long)), T.StructField("sig", T.BinaryType())])
+    signed = written(texts.mapInArrow(_signer(width, bands, rows), schema), "signed")
+    sets = signed.where("n_shingles > 0 and doc_id is not null")
+    # One node for each distinct set; copies are folded before anything is moved. Numbers stay as the table is written.
+    folded = sets.groupBy("n_shingles", "k1", "k2").agg(F.min_by(F.struct("doc_id", "th", "bands", "sig"), F.struct("doc_id", "th")).alias("r"))
+    reps = written(folded.select(F.monotonically_increasing_id().alias("node"), F.col("n_shingles").alias("n"), "k1", "k2", "r.doc_id", "r.th", "r.bands", "r.sig"), "reps")
+    buckets = reps.select("node", F.explode("bands").alias("key"))
+    shared = buckets.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "lead")
+    crowded = written(buckets.join(shared, "key").select("key", "node", "lead"), "buckets")
+    votes = crowded.where("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("m"))
+    best = written(votes.groupBy("node").agg(F.max(F.struct("m", -F.col("lead"))).alias("v")).select((-F.col("v.col2")).alias("a"), F.col("node").alias("b")), "best")
+    of_rep = lambda k, *more: reps.select(F.col("node").alias(k), *more)
+    alike = best.join(of_rep("a", F.col("sig").alias("sa")), "a").join(of_rep("b", "n", F.col("sig").alias("sb")), "b").select("a", "b", "n", "sa", "sb")
+    pairs = written(alike.mapInArrow(_agreeing(threshold, coordinates), "a long, b long, n long"), "pairs")
+    # A lead with many partners meets them in pieces.
+    leads = pairs.groupBy("a").agg(F.ceil(F.sum("n") / (2 * PIECE_SHINGLES)).alias("pieces"))
+    role = lambda u1, side, node: (F.col("a").alias("key"), u1.cast("bigint").alias("u1"), F.lit(-1).cast("bigint").alias("u2"), F.lit(side).alias("side"), F.col(node).alias("node"), F.col(node).alias("c"))
+    first = leads.select("a", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("p")).select(*role(F.col("p"), 0, "a"))
+    second = pairs.join(leads, "a").select(*role(F.pmod(F.xxhash64("b"), F.col("pieces")), 1, "b"))
+    linker = _linker(width, threshold, coordinates)
+    found = written(components(_links(first.unionByName(second), reps, texts, linker)), "components")
+
+    named = F.coalesce(F.col("component"), F.col("node"))
+    held = written(crowded.select("key", "node").join(found, "node", "left").select("key", "node", named.alias("c")), "held")
+    parts = held.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
+    main = parts.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main")
+    mixed = written(held.join(main, "key").join(reps.select("node", "n"), "node"), "mixed")
+    keys = ["key", "u1", "u2"]
+    facts = reps.select("node", "sig", "bands").join(best.select(F.col("b").alias("node"), F.col("a").alias("tried")), "node", "left")
+    met = _pieces(mixed, threshold).join(facts, "node").select(*keys, "side", "node", "c", "n", F.coalesce("tried", F.lit(-1)).alias("tried"), "sig", "bands")
+    likely = written(met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_likely(threshold, coordinates, bands), "key long, u1 long, u2 long, side int, node long, c long"), "likely")
+    if not likely.isEmpty():
+        more = _links(likely, reps, texts, linker)
+        if not more.isEmpty():
+            found = written(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
 
-    return agree
+    # A component is named by its least row.
+    rows_of = found.join(reps.select("node", F.struct("doc_id", "th").alias("r")), "node")
+    least = rows_of.groupBy("component").agg(F.min("r").alias("least"))
+    named_reps = reps.select("n", "k1", "k2", "node", F.struct("doc_id", "th").alias("r")).join(rows_of.select("node", "component").join(least, "component").select("node", "least"), "node", "left")
+    names = named_reps.select(F.col("n").alias("n_shingles"), "k1", "k2", F.coalesce("least", "r").alias("least"))
+    joined = signed.select("doc_id", "th", "n_shingles", "k1", "k2").join(names, ["n_shingles", "k1", "k2"], "left")
+    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    own = lambda c: F.when(alone, F.col(c)).otherwise(F.col(f"least.{c}"))
+    return joined.select("doc_id", "th", "n_shingles", own("doc_id").alias("component_id"), own("th").alias("component_th"))
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 3, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of `docs` (doc_id, text)."""
-    texts = docs.select("doc_id", "text")
-    signed = written(texts.mapInArrow(_signer(width, bands, rows), _SIGNED), "signed")
-    sets = signed.where("n_shingles > 0 and doc_id is not null")
-    # One document of each distinct set; copies are folded before anything is moved.
-    reps = written(sets.groupBy("n_shingles", "k1", "k2").agg(F.min_by(F.struct("doc_id", "bands", "sig"), "doc_id").alias("r")).select("n_shingles", "k1", "k2", F.col("r.doc_id").alias("rep"), "r.bands", "r.sig"), "reps")
-    buckets = reps.select(F.col("rep"), F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "lead")
-    crowded = written(buckets.join(shared, "key").select("key", "rep", "lead"), "buckets")
-    votes = crowded.where("rep <> lead").groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("rep").agg(F.max(F.struct("n", -F.col("lead"))).alias("m")).select((-F.col("m.col2")).alias("a"), F.col("rep").alias("b"))
-    alike = lambda p: p.join(of_rep("a", "sa"), "a").join(of_rep("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing(threshold, bands * rows), "a long, b long")
-    of_rep = lambda k, s: reps.select(F.col("rep").alias(k), F.col("sig").alias(s))
-    best = written(best, "best")
-    first = written(verified(written(alike(best), "pairs"), texts, width, threshold), "links")
-    linked = written(components(first), "components")
-
-    named = lambda c: F.coalesce(F.col(c), F.col("rep"))
-    held = written(crowded.select("key", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", named("component").alias("c")), "held")
-    parts = held.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-    main = parts.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main")
-    # Signatures ride along, so that unlike pairs end in the join's own stage: only likely ones are moved.
-    mixed = written(held.join(main, "key").join(reps.select("rep", "n_shingles", "sig"), "rep"), "mixed")
-    x, y = mixed.where("c <> main").alias("x"), mixed.alias("y")
-    sizes = f"100 * least(x.n_shingles, y.n_shingles) >= {threshold} * greatest(x.n_shingles, y.n_shingles)"
-    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep"))) & F.expr(sizes))
-    sided = apart.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.col("x.sig").alias("sa"), F.col("y.sig").alias("sb"))
-    pairs = sided.mapInArrow(_agreeing(threshold, bands * rows), "a long, b long").distinct()
-    likely = written(pairs.join(best, ["a", "b"], "left_anti"), "pairs")
-    if not likely.isEmpty():
-        second = written(verified(likely, texts, width, threshold), "links")
-        if not second.isEmpty():
-            linked = written(components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)), "components")
-    named_reps = reps.select("n_shingles", "k1", "k2", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "k1", "k2", named("component").alias("component"))
-    joined = signed.select("doc_id", "n_shingles", "k1", "k2").join(named_reps, ["n_shingles", "k1", "k2"], "left")
-    own = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return joined.select("doc_id", "n_shingles", own.alias("component_id"))
+    """doc_id, th (a hash of the text), n_shingles, component_id and component_th (the least row of the component) of every row of `docs` (doc_id, text)."""
+    return settled(lambda: _components_of(docs, width=width, threshold=threshold, bands=bands, rows=rows), "classes")
 
 
 def classes(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
-    return near_duplicates(docs, **how).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    """doc_id, n_shingles, component_id and kept of every row; kept is true where doc_id is null or the text has no words."""
+    found = near_duplicates(docs, **how).drop("th", "component_th")
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep(docs: DataFrame, *, width: int = 5, threshold: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
-    """One document of each group, with the columns of `docs`; of rows that repeat a doc_id one stays."""
-    found = written(near_duplicates(docs, width=width, threshold=threshold, bands=bands, rows=rows), "classes")
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    dropped = written(dropped, "dropped")
-    ids = dropped.select(F.col("doc_id").alias("id"))
-    # Only texts that may be dropped are moved to be told apart exactly.
-    unsure = among(docs, ids).join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    rest = among(docs, ids, wanted=False).unionByName(unsure)
-    # Looked up on narrow rows, so that texts are only grouped by id where some id repeats.
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return rest
-    return rest.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.where("doc_id is null"))
+    """One row of each component, that of the least doc_id (and least hash of its text), with the columns of `docs`.
+
+    Rows without words or doc_id stay. Of rows that agree in doc_id and text one
+    stays, the one of the least hash over all columns. Rows of one doc_id with
+    unlike texts are judged each by its own text. Only rows that may be dropped
+    are moved to be told apart exactly.
+    """
+    found = near_duplicates(docs, width=width, threshold=threshold, bands=bands, rows=rows).where("doc_id is not null")
+    row = ["doc_id", "th"]
+    doubtful = found.groupBy(*row).agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("doc_id", "th") != F.struct(F.col("component_id"), F.col("component_th"))).alias("goes")).where("goes or m > 1")
+    doubtful = written(doubtful.select(F.col("doc_id").alias("__i"), F.col("th").alias("__h"), "goes"), "doubtful")
+    told = docs.withColumn("__t", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    keys = doubtful.select("__i", "__h")
+    sure = among(told, ["doc_id", "__t"], keys, wanted=False)
+    unsure = among(told, ["doc_id", "__t"], keys).join(doubtful, (F.col("doc_id") == F.col("__i")) & (F.col("__t") == F.col("__h")), "left").where("not coalesce(goes, false)")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    single = unsure.where("goes is null").select(*docs.columns)
+    repeated = unsure.where("goes is not null").select("doc_id", "__t", own, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("__all")).groupBy("doc_id", "__t").agg(F.min_by("__row", "__all").alias("__row"))
+    return sure.select(*docs.columns).unionByName(single).unionByName(repeated.select("__row.*"))

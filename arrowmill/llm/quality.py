@@ -13,8 +13,9 @@ does what they reject together.
 
 Edge cases: a null or empty text has no words and fails the base limits; a null
 language is a stratum of its own; a stratum with too few labels admits no
-cutoff, so only base limits apply there; repeated rows are judged one by one;
-labels that disagree about a document count as not clean.
+cutoff, so only base limits apply there; repeated rows are judged one by one,
+but a labelled document is one trial whatever its rows, that of the row which
+the rules hit hardest; labels that disagree about a document count as not clean.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import WS, let, words_sql, written
+from .common import WS, among, let, words_sql, written
 
 RULES = ("symbols", "lines", "windows")
 CUTOFFS = (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02, 0.01)
@@ -88,15 +89,21 @@ def binomial_tail_sql(n: str, k: str, p: float) -> str:
     return f"if({k} >= {n} * {p}D, 1.0D, {top} * aggregate({below}, named_struct('t', 1.0D, 's', 1.0D), {step}, a -> a.s))"
 
 
+def clean(labels: DataFrame) -> DataFrame:
+    """doc_id of the documents that labels agree to be of good quality."""
+    return labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("ok")).where("ok = 1").select("doc_id")
+
+
 def calibrate(featured: DataFrame, labels: DataFrame, *, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA, q: str = "__q") -> DataFrame:
     """One row per stratum with the strictest admitted cutoff of each rule (null: none).
 
     Only counts leave the executors' partitions: per stratum, rule and level.
     """
-    clean = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("ok")).where("ok = 1").select("doc_id")
     levels = ", ".join(f"named_struct('rule', '{r}', 'level', size(filter(array({', '.join(f'{c}D' for c in CUTOFFS)}), c -> c < `{q}`.{r})))" for r in RULES)
     narrow = featured.select("doc_id", F.coalesce(F.col(stratum), F.lit(NO_LANGUAGE)).alias("stratum"), F.expr(f"array({levels})").alias("at"))
-    counts = narrow.join(clean, "doc_id").select("stratum", F.inline("at")).groupBy("stratum", "rule", "level").agg(F.count(F.lit(1)).alias("n"))
+    # One trial a document, whatever its rows: the one whose levels are the strictest.
+    trials = narrow.join(clean(labels), "doc_id").groupBy("doc_id").agg(F.max(F.struct("at", "stratum")).alias("t"))
+    counts = trials.select("t.stratum", F.inline("t.at")).groupBy("stratum", "rule", "level").agg(F.count(F.lit(1)).alias("n"))
     # A document is above cutoff number j (from 0, laxest first) if its level, the number of cutoffs below its share, is at least len - j.
     grid = counts.groupBy("stratum", "rule").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("at"))
     above = "aggregate(filter(map_entries(at), e -> e.key >= {m} - j), 0L, (a, e) -> a + e.value)".format(m=len(CUTOFFS))
@@ -127,9 +134,13 @@ def assess(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The documents that pass, with the columns of `docs`. The features are written beside the rows so that they are computed once."""
-    featured = written(with_features(docs), "quality")
-    return judge(featured, written(calibrate(featured, labels, **how), "cutoffs")).where("__kept").select(*docs.columns)
+    """The rows that pass, with the columns of `docs`, repeated ones each.
+
+    Cutoffs come from the labelled documents, found by a map of fixed size, so
+    that the texts of all others are read once.
+    """
+    cuts = written(calibrate(with_features(among(docs, ["doc_id"], clean(labels))), labels, **how), "cutoffs")
+    return judge(with_features(docs), cuts).where("__kept").select(*docs.columns)
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -152,8 +163,10 @@ FEATURES_SQL = rf"""
 
 CUTS_SQL = f"""
     clean AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-    shares AS (UNPIVOT (SELECT coalesce(f.lang, '') AS stratum, f.symbols, f.lines, f.windows FROM feats f JOIN clean USING (doc_id)) ON symbols, lines, windows INTO NAME rule VALUE share),
     cuts(cut) AS (VALUES {", ".join(f"({c}::DOUBLE)" for c in CUTOFFS)}),
+    levelled AS (SELECT f.*, (SELECT count(*) FROM cuts WHERE cut < f.symbols) AS l1, (SELECT count(*) FROM cuts WHERE cut < f.lines) AS l2, (SELECT count(*) FROM cuts WHERE cut < f.windows) AS l3 FROM feats f JOIN clean USING (doc_id)),
+    trials AS (SELECT * FROM levelled QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY l1 DESC, l2 DESC, l3 DESC, coalesce(lang, '') DESC) = 1),
+    shares AS (UNPIVOT (SELECT coalesce(lang, '') AS stratum, symbols, lines, windows FROM trials) ON symbols, lines, windows INTO NAME rule VALUE share),
     tests AS (SELECT stratum, rule, cut, count(*) AS n, count(*) FILTER (share > cut) AS k FROM shares, cuts GROUP BY ALL),
     tails AS (SELECT *, CASE WHEN k >= n * {ALPHA / len(RULES)!r} THEN 1.0 ELSE (
         SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA / len(RULES)!r}) + (n - i) * ln({1 - ALPHA / len(RULES)!r}))) FROM range(0, k + 1) r(i)) END AS p FROM tests),

@@ -1,181 +1,203 @@
 """Sharding by k-d tree partitioning (native).
 
-A document is a point of three metadata coordinates that its text alone sets:
-the logarithm of its bytes, its share of multi-byte characters and the CRC-32
-of its text. Boxes are split level by level at the weighted median (weight:
-bytes) along the dimension in which their points spread widest, until a leaf
-holds no more than its share of bytes: a small part of a shard. Leaves are then
-dealt to shards, heaviest first, each to the lightest shard, which evens out
-what the medians leave.
-
-A level is one aggregation over narrow rows: bytes by box and bin of the box's
-dimension, with the extent of the points per bin, which also gives the extent
-of both halves. Only these sums reach the driver: at most `bins` per open box,
-whatever the number of documents. The tree goes back into the plan as literal
-arrays that a row walks from the root, so no rows are joined or moved.
-
-Equal texts are one point and stay in one shard. A text whose copies alone
-weigh more than a shard is spread over shards by a hash of doc_id, as no law of
-equal sizes could hold otherwise.
-
-Edge cases: a null text weighs 16 bytes and has the CRC-32 of an empty one;
-repeated rows are copies like any others; an empty table has no rows; fewer
-points than leaves give fewer leaves, and some shards may stay empty.
+A document is a point of three metadata dimensions: its source, its language
+and the logarithm of its bytes. The tree starts with all documents and 40
+shards' worth of bytes; a box of k shards is split along the dimension in which
+its points spread widest, at the weighted median (weight: bytes; for odd k at
+the quantile that leaves whole shards on both sides), until a box holds one
+shard's bytes. So every shard is one box, or one box is one text (see below).
+Points of equal metadata differ in a hash of the text, which stands behind each
+coordinate and parts only ties.
+
+A median is found by histograms of `BINS` bins: the bin in which it lies is cut
+again until it holds one point or less than `EXACT` of a shard. Only these sums
+reach the driver: at most `BINS` a box, and there are no more boxes than
+shards, whatever the number of documents. The tree goes back into the plan as
+literal arrays that a row walks from the root, so no rows are joined or moved.
+
+Equal texts are one point, as rows of one text that differ in source or
+language all count with the least of these, and stay in one shard. A text whose
+copies alone weigh more than a shard is spread over its box's shards by a hash
+of doc_id, as no law of equal sizes could hold otherwise.
+
+Edge cases: a null text weighs 16 bytes and has the CRC-32 of an empty one; null
+and missing sources and languages are values like any other; repeated rows are
+copies; an empty table has no rows; with fewer texts than shards some shards
+stay empty. doc_id may be of any type.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import written
+from .common import settled, written
 
 SHARDS = 40
-#: Leaves that a shard is made of, about.
-LEAVES = 16
-BINS = 64
-DIMS = 4
-MAX_DEPTH = 40
+BINS = 256
+#: A median's last bin may hold this share of a shard.
+EXACT = 0.001
+DIMS = ("source", "lang", "size")
 #: Rows that are numbered in one task.
 SLOT_ROWS = 50_000
+_VALUE = 31
 
 
-def points(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, size, text_crc32 and the coordinates x, each in [0, 1); the fourth only parts copies of one text."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    size = (F.octet_length(t) + 16).cast("bigint")
-    crc = F.crc32(F.encode(t, "UTF-8"))
-    wide = (F.octet_length(t) - F.char_length(t)) / F.greatest(F.octet_length(t), F.lit(1)).cast("double")
-    apart = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    x = F.array(F.least(F.log2(size.cast("double")) / 48.0, F.lit(0.999)), wide, crc.cast("double") / float(1 << 32), apart)
-    return docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), x.alias("x"), *more)
+def _text() -> Column:
+    return F.coalesce(F.col("text"), F.lit(""))
+
+
+def points(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, size, text_crc32, th (a hash of the text), a code for source and lang, in 31 bits each, and `more`."""
+    code = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\x01"))), F.lit(1 << _VALUE)) if c in docs.columns else F.lit(0).cast("bigint")
+    return docs.select("doc_id", (F.octet_length(_text()) + 16).cast("bigint").alias("size"), F.crc32(F.encode(_text(), "UTF-8")).alias("text_crc32"), F.xxhash64(_text()).alias("th"), code("source").alias("source"), code("lang").alias("lang"), *more)
+
+
+def unlike(narrow: DataFrame) -> DataFrame:
+    """th and the least source and lang of the texts that occur with several."""
+    seen = narrow.groupBy("th").agg(*[f(c).alias(f"{k}_{c}") for c in ("source", "lang") for k, f in (("lo", F.min), ("hi", F.max))])
+    return seen.where("lo_source <> hi_source or lo_lang <> hi_lang").select(F.col("th").alias("__th"), "lo_source", "lo_lang")
+
+
+def placed_at(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """`rows` (th, source, lang, size, ...) with the coordinates x: in each the value in the upper and the hash in the lower bits."""
+    size = F.least(F.log2(F.col("size").cast("double")) / 48.0, F.lit(0.999))
+    values = F.coalesce("lo_source", "source"), F.coalesce("lo_lang", "lang"), F.floor(size * float(1 << _VALUE)).cast("bigint")
+    x = F.array(*[F.shiftleft(v, 32) + F.shiftrightunsigned("th", 32) for v in values])
+    return rows.join(several, F.col("th") == F.col("__th"), "left").withColumn("x", x).drop("__th", "lo_source", "lo_lang")
 
 
 class Tree:
-    """Splits by node: a dimension, a threshold and two children; dimension 0 marks a leaf."""
+    """Splits by node: a dimension (-1: a leaf), a threshold, two children, and the shards from `first` on that it gets."""
 
-    def __init__(self) -> None:
-        self.dim, self.at, self.left, self.bytes = [0], [0.0], [0], [0]
+    def __init__(self, shards: int) -> None:
+        self.dim, self.at, self.left, self.first, self.shards, self.deep = [-1], [0], [0], [0], [shards], [0]
 
-    def split(self, node: int, dim: int, at: float) -> tuple[int, int]:
+    def split(self, node: int, dim: int, at: int, below: int) -> tuple[int, int]:
         left = len(self.dim)
         self.dim[node], self.at[node], self.left[node] = dim, at, left
-        for a, v in ((self.dim, 0), (self.at, 0.0), (self.left, 0), (self.bytes, 0)):
-            a += [v, v]
+        for first, n in ((self.first[node], below), (self.first[node] + below, self.shards[node] - below)):
+            for a, v in ((self.dim, -1), (self.at, 0), (self.left, 0), (self.first, first), (self.shards, n), (self.deep, self.deep[node] + 1)):
+                a.append(v)
         return left, left + 1
 
-    def depth(self) -> int:
-        deep = [0] * len(self.dim)
-        for node in range(len(self.dim)):
-            if self.dim[node]:
-                deep[self.left[node]] = deep[self.left[node] + 1] = deep[node] + 1
-        return max(deep)
-
     def walk(self) -> str:
         """SQL for the leaf of a row with coordinates x."""
         if len(self.dim) == 1:
             return "0"
-        dim, at, left = f"array({', '.join(map(str, self.dim))})", f"array({', '.join(repr(v) + 'D' for v in self.at)})", f"array({', '.join(map(str, self.left))})"
-        step = f"if({dim}[n] = 0, n, {left}[n] + if(x[{dim}[n] - 1] >= {at}[n], 1, 0))"
-        return f"aggregate(sequence(1, {self.depth()}), 0, (n, i) -> {step})"
-
-
-def grow(rows: DataFrame, shards: int = SHARDS, leaves: int = LEAVES, bins: int = BINS) -> Tree:
-    """The tree over `rows` (size, x). What reaches the driver is bounded by open boxes times bins."""
-    tree = Tree()
-    lo = [F.min(F.col("x")[d]).alias(f"lo{d}") for d in range(DIMS)]
-    hi = [F.max(F.col("x")[d]).alias(f"hi{d}") for d in range(DIMS)]
-    whole = rows.agg(F.sum("size").alias("bytes"), *lo, *hi).first()
-    if whole["bytes"] is None:
-        return tree
-    tree.bytes[0] = whole["bytes"]
-    most, shard = max(1, whole["bytes"] // (shards * leaves)), whole["bytes"] // shards
-    spread = [max(whole[f"hi{d}"] - whole[f"lo{d}"], 1e-12) for d in range(DIMS)]
-    open_ = {0: [(whole[f"lo{d}"], whole[f"hi{d}"]) for d in range(DIMS)]}
-    for _ in range(MAX_DEPTH):
-        plan = {}
-        for node, box in open_.items():
-            wide = [(box[d][1] - box[d][0]) / spread[d] for d in range(DIMS - 1)]
-            d = max(range(DIMS - 1), key=wide.__getitem__)
-            if wide[d] <= 0:  # one text: its copies part only if they outweigh a shard
-                d = DIMS - 1
-                if tree.bytes[node] <= shard or box[d][1] <= box[d][0]:
-                    continue
-            plan[node] = d
-        if not plan:
-            break
-        size = len(tree.dim)
-        dims = f"array({', '.join(str(plan.get(n, -1)) for n in range(size))})"
-        low = f"array({', '.join(repr(float(open_[n][plan[n]][0])) + 'D' if n in plan else '0.0D' for n in range(size))})"
-        step = f"array({', '.join(repr((open_[n][plan[n]][1] - open_[n][plan[n]][0]) / bins) + 'D' if n in plan else '1.0D' for n in range(size))})"
-        at = rows.select("size", "x", F.expr(tree.walk()).alias("node")).where(F.expr(f"{dims}[node] >= 0"))
-        binned = at.withColumn("bin", F.expr(f"cast(least({bins - 1}, floor((x[{dims}[node]] - {low}[node]) / {step}[node])) as int)"))
+        dim, at, left = (f"array({', '.join(f'{v}{t}' for v in a)})" for a, t in ((self.dim, ""), (self.at, "L"), (self.left, "")))
+        return f"aggregate(sequence(1, {max(self.deep)}), 0, (n, i) -> if({dim}[n] < 0, n, {left}[n] + if(get(x, {dim}[n]) >= {at}[n], 1, 0)))"
+
+    def shard(self) -> str:
+        """SQL for the shard of a row with x and doc_id."""
+        first, n = (f"array({', '.join(map(str, a))})" for a in (self.first, self.shards))
+        return f"aggregate(array({self.walk()}), 0, (s, n) -> {first}[n] + cast(pmod(xxhash64(doc_id), {n}[n]) as int))"
+
+
+def _medians(rows: DataFrame, tree: Tree, wanted: dict[int, tuple[int, int, int, float]], exact: float, bins: int) -> dict[int, tuple[int, int]]:
+    """For each node (dimension, least and largest coordinate, bytes that should lie below): the cut and the bytes below it."""
+    # Of a node in work: the interval in which its cut lies, the bytes below it, and the first coordinate behind it.
+    work = {n: (lo, hi, 0, None) for n, (_, lo, hi, _) in wanted.items()}
+    out: dict[int, tuple[int, int]] = {}
+    while work:
+        size = range(len(tree.dim))
+        d, lo, step = (f"array({', '.join(str(f(n)) for n in size)})" for f in (lambda n: wanted[n][0] if n in work else -1, lambda n: f"{work[n][0]}L" if n in work else "0L", lambda n: f"{(work[n][1] - work[n][0]) // bins + 1}L" if n in work else "1L"))
+        hi = f"array({', '.join(f'{work[n][1]}L' if n in work else '-1L' for n in size)})"
+        at = rows.select("size", "x", F.expr(tree.walk()).alias("node")).where(F.expr(f"{d}[node] >= 0")).select("size", "node", F.expr(f"get(x, {d}[node])").alias("v")).where(F.expr(f"v between {lo}[node] and {hi}[node]"))
         found: dict[int, list] = {}
-        for r in binned.groupBy("node", "bin").agg(F.sum("size").alias("bytes"), *lo, *hi).collect():
+        for r in at.groupBy("node", F.expr(f"(v - {lo}[node]) div {step}[node]").alias("bin")).agg(F.sum("size").alias("bytes"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
             found.setdefault(r["node"], []).append(r)
-        open_ = {}
-        for node, d in plan.items():
-            got = sorted(found[node], key=lambda r: r["bin"])
-            if len(got) < 2:
+        for n, (_, _, below, after) in list(work.items()):
+            target, got = wanted[n][3], sorted(found[n], key=lambda r: r["bin"])
+            i = 0
+            while i < len(got) - 1 and below + got[i]["bytes"] < target:
+                below += got[i]["bytes"]
+                i += 1
+            after = got[i + 1]["lo"] if i + 1 < len(got) else after
+            if got[i]["lo"] < got[i]["hi"] and got[i]["bytes"] > exact:
+                work[n] = got[i]["lo"], got[i]["hi"], below, after
                 continue
-            half, run, best = tree.bytes[node] / 2, 0, None
-            for i, r in enumerate(got[:-1]):
-                run += r["bytes"]
-                if best is None or abs(run - half) < best[0]:
-                    best = (abs(run - half), i + 1, run)
-            _, cut, below = best
-            for child, part, weight in zip(tree.split(node, d + 1, got[cut][f"lo{d}"]), (got[:cut], got[cut:]), (below, tree.bytes[node] - below)):
-                tree.bytes[child] = weight
-                if weight > most:
-                    open_[child] = [(min(r[f"lo{k}"] for r in part), max(r[f"hi{k}"] for r in part)) for k in range(DIMS)]
+            # Before the bin or behind it, whichever comes nearer and leaves something on both sides.
+            cuts = [(abs(below - target), got[i]["lo"], below)] * (below > 0) + [(abs(below + got[i]["bytes"] - target), after, below + got[i]["bytes"])] * (after is not None)
+            out[n] = min(cuts)[1:]
+            del work[n]
+    return out
+
+
+def grow(rows: DataFrame, shards: int = SHARDS, bins: int = BINS) -> Tree:
+    """The tree over `rows` (size, x). What reaches the driver is bounded by open boxes, of which there are fewer than shards, times bins."""
+    tree, open_, spread, share = Tree(shards), {0} if shards > 1 else set(), None, 0.0
+    n_dims = len(DIMS)
+    while open_:
+        mark = f"array({', '.join('true' if n in open_ else 'false' for n in range(len(tree.dim)))})"
+        ends = [f(F.col("x")[d]).alias(f"{k}{d}") for d in range(n_dims) for k, f in (("lo", F.min), ("hi", F.max))]
+        boxes = rows.select("size", "x", F.expr(tree.walk()).alias("node")).where(F.expr(f"{mark}[node]")).groupBy("node").agg(F.sum("size").alias("bytes"), *ends).collect()
+        value = lambda r, d: (r[f"hi{d}"] >> 32) - (r[f"lo{d}"] >> 32)
+        if spread is None and boxes:
+            spread, share = [max(value(boxes[0], d), 1) for d in range(n_dims)], boxes[0]["bytes"] / shards
+        wanted, weight = {}, {}
+        for r in boxes:
+            d = max(range(n_dims), key=lambda d: value(r, d) / spread[d])
+            if r[f"lo{d}"] < r[f"hi{d}"]:  # else it is one text, which only doc_id can part
+                n, k = r["node"], tree.shards[r["node"]]
+                wanted[n], weight[n] = (d, r[f"lo{d}"], r[f"hi{d}"], r["bytes"] * (k // 2) / k), r["bytes"]
+        open_ = set()
+        for n, (at, below) in sorted(_medians(rows, tree, wanted, EXACT * share, bins).items()):
+            k = tree.shards[n]
+            # A heavy text may keep the cut off its place; the shards follow the bytes.
+            for child in tree.split(n, wanted[n][0], at, min(k - 1, max(1, round(k * below / weight[n])))):
+                if tree.shards[child] > 1:
+                    open_.add(child)
     return tree
 
 
-def deal(tree: Tree, shards: int = SHARDS) -> list[int]:
-    """The shard of each node (inner ones: 0); leaves go heaviest first to the lightest shard."""
-    to, load = [0] * len(tree.dim), [(0, s) for s in range(shards)]
-    for node in sorted((n for n in range(len(tree.dim)) if not tree.dim[n]), key=lambda n: (-tree.bytes[n], n)):
-        weight, s = heapq.heappop(load)
-        to[node] = s
-        heapq.heappush(load, (weight + tree.bytes[node], s))
-    return to
+def slotted(rows: DataFrame, narrow: DataFrame, n_rows: int, piece: list[str], order: list[str], shards: int) -> DataFrame:
+    """`rows` (shard, ...) with slot: gapless from 0 in each shard. Rows are numbered in pieces of a shard, told by a hash of the columns `piece`, behind the pieces before; `narrow` holds shard and `piece` of the same rows."""
+    pieces = max(1, math.ceil(n_rows / shards / SLOT_ROWS))
+    of = F.pmod(F.xxhash64(*piece), F.lit(pieces)).cast("int")
+    counts = narrow.select("shard", of.alias("__p")).groupBy("shard", "__p").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("shard").alias("__s"), F.col("__p").alias("__q"), before.alias("__before"))
+    numbered = rows.withColumn("__p", of).withColumn("__n", F.row_number().over(Window.partitionBy("shard", "__p").orderBy(*order)) - 1)
+    return numbered.join(starts, (F.col("shard") == F.col("__s")) & (F.col("__p") == F.col("__q"))).withColumn("slot", (F.col("__before") + F.col("__n")).cast("bigint"))
 
 
-def slotted(rows: DataFrame, n_rows: int, *order: str, shards: int = SHARDS) -> DataFrame:
-    """`rows` (shard, ...) with slot: gapless from 0 in each shard. Rows are numbered in pieces of a shard, behind the counts of the pieces before."""
-    pieces = max(1, math.ceil(n_rows / shards / SLOT_ROWS))
-    cut = rows.withColumn("__piece", F.pmod(F.xxhash64(*order), F.lit(pieces)).cast("int"))
-    counts = cut.groupBy("shard", "__piece").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(F.col("shard").alias("__s"), F.col("__piece").alias("__p"), before.alias("__before"))
-    within = F.row_number().over(Window.partitionBy("shard", "__piece").orderBy(*order)) - 1
-    numbered = cut.withColumn("__n", within)
-    return numbered.join(starts, (F.col("shard") == F.col("__s")) & (F.col("__piece") == F.col("__p"))).withColumn("slot", (F.col("__before") + F.col("__n")).cast("bigint")).drop("__piece", "__s", "__p", "__before", "__n")
+def shard(docs: DataFrame, shards: int = SHARDS, bins: int = BINS) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard (null under this law) of every row."""
 
+    def made() -> DataFrame:
+        # Rows get numbers, which stay as the table is written, so that even equal rows fall into many pieces.
+        narrow = written(points(docs).withColumn("n", F.monotonically_increasing_id()), "points")
+        rows = written(placed_at(narrow, unlike(narrow)).select("doc_id", "size", "text_crc32", "n", "x"), "coordinates")
+        told = rows.withColumn("shard", F.expr(grow(rows, shards, bins).shard()))
+        out = slotted(told, told, rows.count(), ["n"], ["doc_id", "text_crc32", "n"], shards)
+        return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
-def _placed(rows: DataFrame, shards: int, leaves: int) -> DataFrame:
-    tree = grow(rows, shards, leaves)
-    to = deal(tree, shards)
-    return rows.withColumn("shard", F.expr(f"array({', '.join(map(str, to))})[{tree.walk()}]"))
+    return settled(made, "shards")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, leaves: int = LEAVES) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot and grown_shard (null under this law) of every document."""
-    rows = written(points(docs), "points")
-    out = slotted(_placed(rows, shards, leaves), rows.count(), "doc_id", "text_crc32", shards=shards)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+def free_name(name: str, taken: list[str]) -> str:
+    """`name`, behind as many underscores as it takes not to clash."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name
 
 
-def placed(docs: DataFrame, shards: int = SHARDS, leaves: int = LEAVES) -> DataFrame:
-    """`docs` with shard and slot. The tree is grown on narrow rows; texts move once, to their shard's pieces."""
-    names = {"shard", "slot", "size", "text_crc32", "x"}
-    kept = [c for c in docs.columns if c not in names]
+def placed(docs: DataFrame, shards: int = SHARDS, bins: int = BINS) -> DataFrame:
+    """`docs` with size, shard and slot, the same law as `shard`; where a column has such a name, ours gets an underscore before it.
+
+    The tree is grown on narrow rows; texts move once, to their shard's pieces.
+    """
     narrow = written(points(docs), "points")
-    tree = grow(narrow, shards, leaves)
-    to = deal(tree, shards)
-    rows = points(docs, *[c for c in kept if c != "doc_id"]).withColumn("shard", F.expr(f"array({', '.join(map(str, to))})[{tree.walk()}]"))
-    return slotted(rows, narrow.count(), "doc_id", "text_crc32", shards=shards).select(*kept, "size", "shard", "slot")
+    several = written(unlike(narrow), "several")
+    rows = written(placed_at(narrow, several).select("doc_id", "size", "th", "x"), "coordinates")
+    tree = grow(rows, shards, bins)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    wide = placed_at(points(docs, row.alias("__row"), F.xxhash64(row).alias("__all")), several)
+    told = wide.withColumn("shard", F.expr(tree.shard()))
+    out = slotted(told, rows.withColumn("shard", F.expr(tree.shard())), rows.count(), ["doc_id", "th"], ["doc_id", "th", "__all"], shards)
+    return out.select("__row.*", *[F.col(c).alias(free_name(c, docs.columns)) for c in ("size", "shard", "slot")])
+

@@ -97,12 +97,54 @@ def test_copies_beyond_a_shard_are_spread(make):
     assert max(loads) < 1.2 * (sum(loads) / 40)
 
 
+def kd_boxes(points, shards):
+    """Shards of (bytes, coordinates, group) by a k-d tree over sorted lists, for points without ties beyond a group."""
+    spread = [max(1, max(x[d] >> 32 for _, x in points) - min(x[d] >> 32 for _, x in points)) for d in range(3)]
+    out = {}
+
+    def split(own, first, k):
+        if k == 1 or len({x for _, x in own}) == 1:
+            out.update((x, (first, k)) for _, x in own)
+            return
+        wide = [(max(x[d] >> 32 for _, x in own) - min(x[d] >> 32 for _, x in own)) / spread[d] for d in range(3)]
+        d = wide.index(max(wide))
+        whole = sum(s for s, _ in own)
+        sums = {}
+        for s, x in own:
+            sums[x[d]] = sums.get(x[d], 0) + s
+        best, below = None, 0
+        for v, after in zip(sorted(sums), sorted(sums)[1:]):
+            below += sums[v]
+            best = min(best or (float("inf"),), (abs(below - whole * (k // 2) / k), after, below))
+        k1 = min(k - 1, max(1, round(k * best[2] / whole)))
+        split([p for p in own if p[1][d] < best[1]], first, k1)
+        split([p for p in own if p[1][d] >= best[1]], first + k1, k - k1)
+
+    split(points, 0, shards)
+    return out
+
+
+def test_shards_equal_a_brute_force_tree(spark, make, small, monkeypatch):
+    monkeypatch.setattr(sharding, "EXACT", 0.0)
+    docs = table(spark, small, "documents")
+    narrow = sharding.points(docs)
+    rows = sharding.placed_at(narrow, sharding.unlike(narrow)).collect()
+    want = kd_boxes([(r["size"], tuple(r["x"])) for r in rows], 40)
+    at = {(r.doc_id, r.text_crc32): want[tuple(r["x"])] for r in rows}
+    for r in sharding.shard(docs).collect():
+        first, k = at[r.doc_id, r.text_crc32]
+        assert first <= r.shard < first + k
+
+
 def test_shard_edges(make, edges, monkeypatch):
     checked(edges, sharding.shard(make(edges, clash=True)).collect(), 40)
     assert sharding.shard(make([])).count() == 0
     docs = make(edges, clash=True)
     out = sharding.placed(docs)
-    assert out.count() == len(edges) and {"doc_id", "text", "shard", "slot"} <= set(out.columns)
+    # Columns of our names keep their values; ours are renamed.
+    assert out.columns == [*docs.columns, "_size", "_shard", "_slot"]
+    assert sorted(map(str, out.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    assert sharding.placed(make([])).columns == [*make([]).columns, "size", "shard", "slot"]
     monkeypatch.setattr(sharding, "SLOT_ROWS", 5)
     rows = [(i, f"t {i}", "en", "a") for i in range(900)]
     checked(rows, sharding.shard(make(rows)).collect(), 40)
