@@ -3,8 +3,7 @@
 A page becomes a tree of elements. Each node's density is its characters per
 tag, adjusted for links: where link text or link tags prevail, the logarithm's
 base grows and the density falls. A node's density sum adds the densities of
-its children. An only article or main element with a good share of the text is
-the content. Else it grows from the node of the largest sum towards the body:
+its children. The content grows from the node of the largest sum towards the body:
 an element around it is taken if it adds text beside it, through wrappers that
 add none. The body, and what stands around an article, is taken if it adds
 running text or a part of like density or size, as sibling sections and
@@ -30,13 +29,15 @@ import math
 import re
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import ships
 
 ships(__name__)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S)
+#: No part gives back what it took, and a quote without its like stands for itself, so a page is read in linear time.
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*+(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|$)", re.S)
+_ATTRIBUTE = re.compile(r"(?<![^\s=/\"'>])([^\s=/\"'>]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.S)
 _SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -54,12 +55,15 @@ _COMMENTS = frozenset("comment comments commentlist respond reply replies disqus
 #: What stands beside a name in a compound that says the same, as in site-footer or comment-list; the second only before it, as in page-header.
 _PLACES = frozenset("site global primary secondary top bottom left right upper lower inner outer list lists box boxes container block blocks area section item items link links bar unit slot group row panel form button buttons posts articles stories news wrap wrapper mobile desktop sticky fixed".split())
 _BEFORE = frozenset("main page post article entry blog".split())
+#: Names that a part of an article may have by its subject: running text so named stays.
+_AMBIGUOUS = frozenset("discussion related recommended legal share sharing social tags trending search".split())
+PROSE = 140
 #: Names that the heading of an article's section may give it.
 _SUBJECTS = frozenset("discussion related search legal notice notices consent copyright tags social sharing share promotion subscription navigation trending".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PARTS = re.compile(r"[_-]+")
-#: Why a node is left out: never text; by a name, role or form, unless it holds the article; the same of a section's id; reader comments.
-HARD, SOFT, SUBJECT, COMMENTS = 1, 2, 3, 4
+#: Why a node is left out: never text; by a name, role or form, unless it holds the article; the same of a section's id; reader comments; by a name that may be a subject, unless it holds running text.
+HARD, SOFT, SUBJECT, COMMENTS, VAGUE = 1, 2, 3, 4, 5
 #: A start tag of the left closes an open element of the right, up to the barrier.
 _CLOSES = {
     "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu"))),
@@ -73,31 +77,59 @@ _CLOSES = {
 _PARAGRAPH_BARRIER = frozenset("div article section main body td th li aside nav header footer form blockquote table ul ol dd button object".split())
 
 
+#: The groups of `_CLOSES` by tag: of each the elements closed and the barrier.
+_GROUPS = {tag: i for i, tags in enumerate((("li",), ("dt", "dd"), ("tr",), ("td", "th"), ("option",))) for tag in tags}
+#: Elements that some group looks for, with the groups.
+_SOUGHT: dict[str, list[int]] = {}
+for _tag, _i in _GROUPS.items():
+    for _x in _CLOSES[_tag][0] | _CLOSES[_tag][1]:
+        if _i not in _SOUGHT.setdefault(_x, []):
+            _SOUGHT[_x].append(_i)
 _CELLS = frozenset("td th tr tbody thead tfoot table".split())
 #: Elements of running text; what stands in one is part of a longer text.
 _TEXTS = frozenset("p li h1 h2 h3 h4 h5 h6 pre blockquote ul ol dl dd dt figure figcaption".split()) | _CELLS | INLINE
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "chars", "tags", "link_chars", "link_tags", "sum", "density", "why")
+    __slots__ = ("tag", "parent", "children", "drop", "chars", "tags", "link_chars", "link_tags", "sum", "density", "why", "block", "inline", "near", "edge")
 
     def __init__(self, tag: str, parent: "Node | None", drop: bool, why: int = 0) -> None:
         self.tag, self.parent, self.drop, self.why = tag, parent, drop, why
         self.children: list = []
+        # While the tree is built: the block this stands in (itself, if it is one), a block's open inline elements by tag, and for each
+        # group of tags, and for paragraphs, the nearest element that it closes or that bars it; so no step walks the open elements.
+        if parent is None:
+            self.block, self.inline, self.near, self.edge = self, {}, (None,) * 5, None
+        else:
+            self.block, self.near, self.edge = parent.block, parent.near, parent.edge
+            if tag not in INLINE:
+                self.block, self.inline = self, {}
+            if tag in _SOUGHT:
+                near = list(parent.near)
+                for i in _SOUGHT[tag]:
+                    near[i] = self
+                self.near = tuple(near)
+            if tag == "p" or tag in _PARAGRAPH_BARRIER:
+                self.edge = self
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.sum = self.density = 0.0
 
 
 def _named(value: str) -> int:
-    """Whether a token of a class or id names what isn't the article's text."""
+    """Whether a token of a class or id names what isn't the article's text; names that may be a subject count least."""
     found = 0
     for token in value.split():
         parts = [token] if token in _NAMES else [x for x in _PARTS.split(token) if x and not x.isdigit()]
         if any(x in _NAMES for x in parts) and all(x in _NAMES or x in _PLACES or not i and x in _BEFORE for i, x in enumerate(parts)):
-            found = max(found, COMMENTS if not _COMMENTS.isdisjoint(parts) else SOFT)
+            found = _stronger(found, COMMENTS if not _COMMENTS.isdisjoint(parts) else VAGUE if token in _AMBIGUOUS else SOFT)
     return found
 
 
+def _stronger(a: int, b: int) -> int:
+    """Of two reasons the one that decides: comments, then names, then names that may be a subject, then those of a section's id."""
+    return max(a, b, key=(0, SUBJECT, VAGUE, SOFT, COMMENTS).index)
+
+
 def _dropped(tag: str, attributes: str) -> int:
     """Why a node may be left out, or 0."""
     if tag in DROPPED:
@@ -112,9 +144,9 @@ def _dropped(tag: str, attributes: str) -> int:
         if name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return HARD
         if name == "role" and value in _ROLES:
-            found = max(found, SOFT)
+            found = _stronger(found, SOFT)
         elif name in ("class", "id") and tag not in _HEADINGS and (why := _named(value)):
-            found = max(found, SUBJECT if tag == "section" and name == "id" and value in _SUBJECTS and not found else why)
+            found = _stronger(found, SUBJECT if tag == "section" and name == "id" and value in _SUBJECTS and not found else why)
     return HARD if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", _ATTRIBUTE.sub(" ", attributes)) else found
 
 
@@ -122,11 +154,21 @@ def parse(source: str) -> Node:
     """The tree under a root node; text is kept as strings among the children, with references decoded."""
     root = node = Node("#root", None, False)
     at, n = 0, len(source)
+    opened: dict[str, int] = {}
 
     def text(chunk: str) -> None:
         if chunk:
             node.children.append(html.unescape(chunk) if "&" in chunk else chunk)
 
+    def close(outer: Node) -> None:
+        """Ends what is open inside of `outer`, each element once."""
+        nonlocal node
+        while node is not outer:
+            opened[node.tag] -= 1
+            if node.tag in INLINE:
+                node.block.inline[node.tag] -= 1
+            node = node.parent
+
     while at < n:
         m = _TOKEN.search(source, at)
         if m is None:
@@ -142,34 +184,28 @@ def parse(source: str) -> Node:
             continue
         tag = m[3].lower()
         if m[2]:
-            up = node
-            while up is not root and up.tag != tag:
-                # A paragraph-like end tag closes nothing beyond the block it stands in.
-                if tag in INLINE and up.tag not in INLINE:
-                    break
-                up = up.parent
-            if up.tag == tag and up is not root:
-                node = up.parent
+            # An inline end tag closes nothing beyond the block it stands in.
+            if (node.block.inline if tag in INLINE else opened).get(tag, 0):
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                close(up.parent)
             continue
         if tag not in INLINE:
             # A block ends an open paragraph, with the inline elements still open in it.
-            up = node
-            while up is not root and up.tag != "p" and up.tag not in _PARAGRAPH_BARRIER:
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
-            if tag in _CLOSES:
-                closed, barrier = _CLOSES[tag]
+            if node.edge is not None and node.edge.tag == "p":
+                close(node.edge.parent)
+            if tag in _GROUPS:
+                closed, group = _CLOSES[tag][0], _GROUPS[tag]
+                while (up := node.near[group]) is not None and up.tag in closed:
+                    close(up.parent)
+                    if tag != "tr":
+                        break
+            if tag == "body":
                 up = node
-                while up is not root and up.tag not in barrier:
-                    if up.tag in closed:
-                        node = up.parent
-                        if tag != "tr":
-                            break
+                while up is not root and up.tag != "html":
                     up = up.parent
-            if tag == "body":
-                while node is not root and node.tag != "html":
-                    node = node.parent
+                close(up)
         why = _dropped(tag, m[4] or "")
         child = Node(tag, node, node.drop or why == HARD, why)
         node.children.append(child)
@@ -179,6 +215,9 @@ def parse(source: str) -> Node:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|$)", re.I).search(source, at)
             at = end.end() if end else n
             continue
+        opened[tag] = opened.get(tag, 0) + 1
+        if tag in INLINE:
+            child.block.inline[tag] = child.block.inline.get(tag, 0) + 1
         node = child
     return root
 
@@ -219,7 +258,7 @@ def _settled(root: Node) -> None:
         n, k, article = sizes[node]
         if node.why > HARD:
             holds = article > free or not own and 2 * (n - k) > chars - links
-            prose = node.why == SUBJECT and inside and 2 * k <= n
+            prose = 2 * k <= n and (node.why == SUBJECT and inside or node.why == VAGUE and n - k >= PROSE)
             if node.why == COMMENTS or not (holds or prose):
                 dropped.append(node)
                 continue
@@ -289,14 +328,6 @@ def content(root: Node) -> Node:
     order = _measured(root)
     blocks = [x for x in order if x.tag not in INLINE and x.chars] or [root]
     body = next((x for x in order if x.tag == "body"), root)
-    inner = set()
-    for x in order:
-        if x.parent is not None and (x.parent.tag == "article" or x.parent in inner):
-            inner.add(x)
-    for wanted in ("article", "main"):
-        found = [x for x in blocks if x.tag == wanted and x not in inner]
-        if len(found) == 1 and 3 * found[0].chars >= body.chars - found[0].chars:
-            return found[0]
     up = max(blocks, key=lambda x: x.sum)
     while up.tag in _TEXTS and up.tag not in _CELLS and up.parent is not None and up is not body:
         up = up.parent
@@ -358,9 +389,10 @@ def _extract(batches):
 
     for batch in batches:
         texts = [main_text(h) for h in batch.column(2).to_pylist()]
-        yield pa.record_batch([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
-    return pages.select("page_id", "url", "html").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    """page_id and url (of any type), text and n_chars of every page."""
+    rows = pages.select("page_id", "url", "html")
+    return rows.mapInArrow(_extract, T.StructType([*rows.schema.fields[:2], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))

@@ -1,8 +1,9 @@
 """Decontamination, licences, HTML, language, toxicity, chats."""
 
-import random
 import itertools
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -218,6 +219,68 @@ def test_names_and_forms_drop_no_article(page, n):
     assert len(html_text.main_text(page).split("\n\n")) == n
 
 
+@pytest.mark.parametrize("name", ["legal", "share", "tags", "discussion", "related", "trending"])
+def test_running_text_by_the_name_of_a_subject_stays(name):
+    page = f"<body><div>{_paragraphs(*'ab')}<div class='{name}'>{_paragraphs('c')}</div></div><div class='{name}'><a>One</a> <a>Two</a></div>"
+    got = html_text.main_text(page)
+    assert len(got.split("\n\n")) == 3 and "One" not in got
+
+
+def test_misleading_elements_dont_bind_the_text():
+    # A teaser's article element and an empty main say nothing; density does.
+    page = f"<body><main></main><div>{_paragraphs(*'abc')}</div><aside><article>Teaser</article></aside><div class='x'><article><a>More</a> <a>News</a></article></div>"
+    assert len(html_text.main_text(page).split("\n\n")) == 3
+
+
+@pytest.mark.parametrize("part", ["<div>", "</section>", "<b>", "<div></div>", "<li></li>", '<a "', "<i><div>", "</i>", "<td>", "<p>", "<![CDATA[", "<p style='", "<", "<tr>", "x=", "&#"])
+def test_a_large_page_of_stray_tags_is_read_in_linear_time(part):
+    took = []
+    for lead in ("<div>", "<b>", "<i><div><b>"):
+        source = lead * 3_000 + part * (100_000 // len(part))
+        began = time.process_time()
+        html_text.main_text(source)
+        took.append(time.process_time() - began)
+    assert max(took) < 10  # a few tenths of a second where nothing else runs; a quadratic walk takes minutes
+
+
+def naive(node):
+    """Characters, tags, characters in links and links under a node, by walking all of it."""
+    chars = tags = link_chars = links = 0
+    for c in node.children:
+        if isinstance(c, str):
+            chars += len(re.sub(r"\s+", " ", c).strip())
+        elif not c.drop:
+            n, t, k, a = naive(c)
+            chars, tags, link_chars, links = chars + n, tags + t + 1, link_chars + k, links + a + (c.tag == "a")
+    return chars, tags, chars if node.tag == "a" else link_chars, links
+
+
+def test_density_sums_equal_a_naive_walk(small):
+    import math
+
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table(f"{small}/../sf0.01/pages.parquet", columns=["html"])["html"].to_pylist():
+        root = html_text.parse(page)
+        html_text._settled(root)
+        order = html_text._measured(root)
+        body = next((x for x in order if x.tag == "body"), root)
+        all_chars, _, all_links, _ = naive(body)
+
+        def density(x):
+            c, t, lc, lt = naive(x)
+            if not c:
+                return 0.0
+            base = math.log(c / max(c - lc, 1) * max(lc, 1) * (lc > 0) + (all_links / all_chars if all_chars else 0) * c + math.e)
+            t, lc, lt = max(t, 1), max(lc, 1), max(lt, 1)
+            return c / t * math.log(max(c * t / (lc * lt), 1.0)) / math.log(base) if base > 1 else c / t
+
+        for x in order:
+            want = sum(density(c) for c in x.children if not isinstance(c, str) and not c.drop)
+            own = sum(len(re.sub(r"\s+", " ", c).strip()) for c in x.children if isinstance(c, str))
+            assert x.sum == pytest.approx(want + (own if x.tag not in html_text.INLINE else 0))
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", 5), (None, None, None, 6), (1, "u", "<p>a</p>", 7)], "page_id long, url string, html string, n_chars int")
     assert sorted(map(tuple, html_text.extract(pages).collect()), key=repr) == sorted([(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0)], key=repr)
