@@ -17,7 +17,8 @@ one vector of each reaches the driver.
 Edge cases: null texts and texts without letters give `und` and score 0; a null
 lang is not learned; a null doc_id counts as held out; without any language to
 learn all predictions are `und`; a negative cosine scores 0; ties go to the
-first value in code-point order.
+first value in code-point order; repeated rows get equal predictions; doc_id may
+be of any type.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from .common import ships, written
@@ -156,7 +158,7 @@ def _predictor(langs: list[str], vectors: np.ndarray, dimensions: int):
                     named = bool(some[i]) and len(langs) > 0
                     names.append(langs[b] if named else UNKNOWN)
                     scores.append(min(1.0, max(0.0, float(cosines[i, b]))) if named else 0.0)
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return predict
 
@@ -165,4 +167,4 @@ def identify(docs: DataFrame, *, dimensions: int = DIMENSIONS, per_lang: int = P
     """doc_id, held_out, lang_pred and score of every document."""
     langs, vectors = prototypes(docs, dimensions=dimensions, per_lang=per_lang)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(_predictor(langs, vectors, dimensions), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(_predictor(langs, vectors, dimensions), T.StructType([*rows.schema.fields[:2], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -330,22 +330,82 @@ def test_gate_accepts_the_words_of_the_tokenizer(frame):
         assert bool(lexicon.gate.search(text)) == told == any(toxicity.features(text, lexicon)), text
 
 
-def test_toxicity_learns_and_generalises(make, labels):
-    r = random.Random(4)
+def kinds_by_definition(classes):
+    """What the grammar must say of each word of a clause, from the whole clause."""
+    out, target = [], "target" in classes
+    for i, c in enumerate(classes):
+        negated, told = "negation" in classes[max(0, i - toxicity.REACH) : i], "report" in classes[:i]
+        if c == "insult":
+            out.append("negated" if negated else "reported" if told else "targeted" if target else "plain")
+        else:
+            out.append("threat" if c == "threat" and target and not negated and not told else "")
+    return out
+
+
+def test_composed_transducers_equal_their_definition_on_all_short_clauses():
+    for n in range(5):
+        for classes in itertools.product(toxicity.CLASSES, repeat=n):
+            (path,) = toxicity.GRAMMAR.paths(classes)
+            assert [kind for kind, _ in path] == kinds_by_definition(classes) and all(w == 1.0 for _, w in path), classes
+
+
+def test_composition_multiplies_weights_along_all_paths():
+    a = toxicity.Transducer([0], [1], {(0, "x"): [("y", 0.5, 1), ("z", 2.0, 1)], (1, "x"): [("y", 3.0, 1)]})
+    b = toxicity.Transducer(["s"], ["s"], {("s", "y"): [("Y", 10.0, "s")], ("s", "z"): [("Z", 7.0, "t")]})
+    assert a.then(b).paths("xx") == [[("Y", 5.0), ("Y", 30.0)]] and a.then(b).paths("") == []
+    assert sorted(a.paths("x")) == [[("y", 0.5)], [("z", 2.0)]]
+
+
+def marked_texts(n, seed=4, framed=()):
+    """Texts of made-up words, every eighth toxic by stems of several words each; `framed` words stand before a stem in clean ones."""
+    r = random.Random(seed)
     word = lambda: "".join(r.choice("bcdfghjklm") + r.choice("aeiou") for _ in range(3))
+    insult = lambda: r.choice(["zwackel", "quorfen"]) + r.choice(["", "en", "st", "ung", "ix"])
     rows, marks = [], []
-    for i in range(1500):
+    for i in range(n):
         w = [word() for _ in range(40)]
-        toxic = i % 8 == 0
-        if toxic:
+        if i % 8 == 0:
             for _ in range(3):
-                w.insert(r.randrange(len(w)), r.choice(["zwackel", "quorfen"]) + r.choice(["", "en", "st", "ung"]))
+                w.insert(r.randrange(len(w)), insult())
+        elif framed and i % 8 == 4:
+            for f in framed:
+                w += [".", f, insult(), "."]
         rows.append((i, " ".join(w) + ".", "en", "a"))
-        marks.append((i, 1, int(toxic)))
+        marks.append((i, 1, int(i % 8 == 0)))
+    return rows, marks
+
+
+def test_toxicity_learns_and_generalises(make, labels):
+    rows, marks = marked_texts(1500)
+    lexicon, _ = toxicity.train(make(rows), labels(marks))
+    assert set(lexicon.stems) == {"zwackel", "quorfen"}
     found = toxicity.score(make(rows, clash=True), labels(marks)).collect()
     assert all(r.predicted == marks[r.doc_id][2] for r in found) and any(r.held_out for r in found)
 
 
+def test_negations_are_learned_from_their_context(make, labels):
+    rows, marks = marked_texts(1500, framed=["niemand", "keinesfalls"])
+    lexicon, weights = toxicity.train(make(rows), labels(marks))
+    assert lexicon.negations >= {"niemand", "keinesfalls"}
+    kinds = lambda t: {k for k, v in zip(toxicity.KINDS, toxicity.features(t, lexicon)) if v}
+    assert kinds("niemand zwackelix hier") == {"negated"} and kinds("zwackelix hier") == {"plain"}
+    found = toxicity.score(make(rows), labels(marks)).collect()
+    assert all(r.predicted == marks[r.doc_id][2] for r in found if r.held_out)
+
+
+def test_toxicity_of_held_out_documents(spark, small):
+    sf_dir = f"{small}/../sf0.01"
+    docs, marks = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    lexicon, _ = toxicity.train(docs, marks)
+    words = Counter(s for t in docs.toPandas().text for w in set(toxicity._WORD.findall((t or "").lower())) for s in {w + "$"} | {w[:k] for k in range(toxicity.SHORTEST, toxicity.LONGEST + 1)})
+    # A stem is a whole word or the start of several.
+    assert lexicon.stems and all(words[s] >= 3 for s in lexicon.stems)
+    truth = {r.doc_id: r.toxic for r in marks.collect()}
+    found = [(r.predicted, truth[r.doc_id]) for r in toxicity.score(docs, marks).collect() if r.held_out and truth.get(r.doc_id) is not None]
+    hits, toxic = sum(p for p, t in found if t), sum(t for _, t in found)
+    assert hits >= 0.9 * toxic > 0 and sum(p for p, t in found if not t) <= 0.01 * len(found)
+
+
 def test_toxicity_edges(make, labels, edges):
     found = toxicity.score(make(edges, clash=True), labels([(1, 1, 0), (1, 1, 1), (None, 1, 1), (6, None, None)])).collect()
     assert len(found) == len(edges) and all(0 <= r.score < 0.5 and r.predicted == 0 for r in found)
