@@ -36,7 +36,38 @@ class Rule(Enum):
     DEPTH = "the expression is nested too deeply"
 
 
+    @property
+    def code(self) -> str:
+        """A stable identifier: numbers are given once, in the order of `CODES`, and never change."""
+        return f"AM{CODES.index(self.name) + 1:03}"
+
+
+#: Rules in the order in which they got their numbers; new ones go to the end.
+CODES = (
+    "SYNTAX UNKNOWN_SOURCE SOURCE_SHAPE RECEIVER_KIND ARITY ARGUMENT_KIND UNKNOWN_PROPERTY AMBIGUOUS_PROPERTY HIERARCHY_CYCLE UNKNOWN_COLUMN DUPLICATE_COLUMN NAME_COUNT UNBOUND_VARIABLE OPERAND_TYPE "
+    "COMPARISON REDUCER STRING_RECEIVER MULTIPLICITY JOIN_KIND JOIN_SIDES DUPLICATE_SORT_KEY NO_ROW_BINDING MILESTONE_ARITY INDEX_LITERAL UNMODELED DEPTH"
+).split()
+
+
+class Reason(Enum):
+    """Why a comparison of two queries settles nothing; each value says it to a reader."""
+
+    UNREADABLE = "one of the texts doesn't parse"
+    SOURCES = "they read different sources, whose rows may agree all the same"
+    WINDOW = "windows are compared by their text only"
+    MILESTONING = "dates in force are compared by their text only"
+    ORDER = "the result depends on an order that may not be total"
+    DIVISION = "quotients are compared by their text only"
+    OPAQUE = "an embedded text is not interpreted"
+    PREDICATE = "only conditions differ, and they have no normal form"
+    REWRITE = "no known rewrite leads from one to the other"
+
+    @property
+    def code(self) -> str:
+        return f"CMP-{self.name}"
+
+
 class AnalysisError(Exception):
     def __init__(self, rule: Rule, message: str, at: int | None = None) -> None:
-        super().__init__(f"{rule.name}: {message}" + ("" if at is None else f" (at {at})"))
-        self.rule, self.at = rule, at
+        super().__init__(f"{rule.code} {rule.name}: {message}" + ("" if at is None else f" (at {at})"))
+        self.rule, self.at, self.code = rule, at, rule.code

@@ -92,11 +92,22 @@ def empty(negated: bool):
 
 
 def pivot(compiler, frame: Frame, args, env) -> Frame:
-    """pivot(~[column], ~[name: row|value : values|reduced]): one column per value and aggregate, named value__name; other columns group."""
-    count(args, 2, 2, "pivot")
+    """pivot(~[column], [values], ~[name: row|value : values|reduced]): one column per value and aggregate, named value__name; other columns group.
+
+    Without the list of values a job finds them while the query is planned, at
+    most as many as Spark's spark.sql.pivotMaxValues, so the list is the way for
+    large tables.
+    """
+    count(args, 2, 3, "pivot")
     only(frame, "relation")
     (column,) = names(args[0], "pivot")
     frame.column(column)
+    values = None
+    if len(args) == 3:
+        if not isinstance(args[1], ast.ListOf) or not args[1].items or not all(isinstance(v, ast.Literal) for v in args[1].items):
+            raise AnalysisError(Rule.ARGUMENT_KIND, "pivot takes its values as a list of literals")
+        values = list(dict.fromkeys(v.value for v in args[1].items))
+        args = (args[0], args[2])
     if not isinstance(args[1], ast.Columns) or any(c.function is None or c.reduce is None for c in args[1].items):
         raise AnalysisError(Rule.ARGUMENT_KIND, "pivot takes ~[name: row|value : values|reduced]")
     new = frame.with_df(frame.df)
@@ -107,7 +118,7 @@ def pivot(compiler, frame: Frame, args, env) -> Frame:
         used |= {v.name} if v.name else set()
         aggs.append((c.name, reduced(compiler, v, c.reduce, env)))
     keys = [n for n in new.columns if n != column and n not in used]
-    wide = new.df.groupBy(*map(named, keys)).pivot(column).agg(*[v.col.alias(f"#{n}") for n, v in aggs])
+    wide = new.df.groupBy(*map(named, keys)).pivot(column, values).agg(*[v.col.alias(f"#{n}") for n, v in aggs])
     label = lambda c: c if c in keys else c.replace("_#", "__") if len(aggs) > 1 else f"{c}__{aggs[0][0]}"
     return compiler.relation(wide.toDF(*map(label, wide.columns)))
 

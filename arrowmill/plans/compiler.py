@@ -215,19 +215,25 @@ class Compiler:
         for c in many.correlated:
             on = on & c
         pairs = None if many.correlated else tuple((named(a), b) for a, b in many.on)
-        return Test(many.owner.frame, frame.df, on, negated, pairs)
+        return Test(many.owner.frame, frame.df, on, negated, pairs, row=many.owner)
 
     def aggregated(self, many: ToMany, name: str) -> Value:
         """A collection's count, sum, ...: aggregated by its keys, then joined, one row per owner."""
-        if many.correlated:
-            raise AnalysisError(Rule.UNMODELED, "a collection filtered by its owner's values can be tested, not aggregated")
         value = many.element if isinstance(many.element, Value) else None
         grouped = self.reducer(Grouped(value, many.distinct), name)
         id_ = next(self.ids)
+        owner, rows = many.owner.frame, many.frame.df
         keys = [b for _, b in many.on]
-        sub = many.frame.df.groupBy(*map(named, keys)).agg(grouped.col.alias(f"#{id_}.agg")).select(*[named(k).alias(f"#{id_}.k{i}") for i, k in enumerate(keys)], named(f"#{id_}.agg"))
-        owner = many.owner.frame
-        owner.df = owner.df.join(sub, fold(Column.__and__, [named(a) == named(f"#{id_}.k{i}") for i, (a, _) in enumerate(many.on)]), "left")
+        lefts = [a for a, _ in many.on]
+        same = Column.__eq__
+        if many.correlated:
+            # What its owner's values filter is grouped by these: the collection meets each distinct owner once.
+            lefts = keys = [many.owner.prefix + m.name for m in many.owner.members]
+            same = Column.eqNullSafe
+            on = fold(Column.__and__, [*[named(a) == named(b) for a, b in many.on], *many.correlated])
+            rows = owner.df.dropDuplicates(lefts).join(rows, on)
+        sub = rows.groupBy(*map(named, keys)).agg(grouped.col.alias(f"#{id_}.agg")).select(*[named(k).alias(f"#{id_}.k{i}") for i, k in enumerate(keys)], named(f"#{id_}.agg"))
+        owner.df = owner.df.join(sub, fold(Column.__and__, [same(named(a), named(f"#{id_}.k{i}")) for i, a in enumerate(lefts)]), "left")
         col = named(f"#{id_}.agg")
         if name in ("count", "size"):
             col = F.coalesce(col, F.lit(0).cast("bigint"))
@@ -237,14 +243,38 @@ class Compiler:
 
     def tested(self, test: Test) -> Value:
         """A test as a value, where it isn't a filter of its own: a left join with the distinct keys."""
-        if test.pairs is None:
-            raise AnalysisError(Rule.UNMODELED, "a test by the owner's values must stand alone or in a conjunction")
         id_ = next(self.ids)
-        keys = test.other.select(*[named(b).alias(f"#{id_}.k{i}") for i, (_, b) in enumerate(test.pairs)]).distinct().withColumn(f"#{id_}.in", F.lit(True))
-        on = fold(Column.__and__, [a == named(f"#{id_}.k{i}") for i, (a, _) in enumerate(test.pairs)])
-        test.frame.df = test.frame.df.join(keys, on, "left")
-        col = named(f"#{id_}.in").isNull() if test.negated else named(f"#{id_}.in").isNotNull()
-        return Value(col, "Boolean", ONE, frozenset((test.frame.id,)))
+        frame, flag = test.frame, named(f"#{id_}.in")
+        if test.pairs is None:
+            # The owner's values are read beyond equal keys: rows that pass are marked by their properties.
+            keys = [test.row.prefix + m.name for m in test.row.members]
+            passed = frame.df.join(test.other, test.on, "left_semi").select(*[named(k).alias(f"#{id_}.k{i}") for i, k in enumerate(keys)]).distinct()
+            on = fold(Column.__and__, [named(k).eqNullSafe(named(f"#{id_}.k{i}")) for i, k in enumerate(keys)])
+        else:
+            passed = test.other.select(*[named(b).alias(f"#{id_}.k{i}") for i, (_, b) in enumerate(test.pairs)]).distinct()
+            on = fold(Column.__and__, [a == named(f"#{id_}.k{i}") for i, (a, _) in enumerate(test.pairs)])
+        frame.df = frame.df.join(passed.withColumn(f"#{id_}.in", F.lit(True)), on, "left")
+        col = flag.isNotNull()
+        if test.value is not None:
+            found = self.contents(test)
+            col = F.when(flag.isNotNull(), True).when(found == "none", False).when(test.value.isNull() | (found == "nulls"), F.lit(None).cast("boolean")).otherwise(False)
+        return Value(~col if test.negated else col, "Boolean", ONE if test.value is None else OPTIONAL, frozenset((frame.id,)))
+
+    def contents(self, test: Test) -> Column:
+        """Of a membership's set: none, nulls (among others) or values, as one aggregated row."""
+        key = named(test.pairs[0][1])
+        said = F.when(F.count(F.lit(1)) == 0, "none").when(F.count(F.lit(1)) > F.count(key), "nulls").otherwise("values")
+        return test.other.agg(said.alias("said")).scalar()
+
+    def passing(self, df: DataFrame, test: Test) -> DataFrame:
+        """The rows of `df` for which the test is true."""
+        if not test.negated:
+            return df.join(test.other, test.on, "left_semi")
+        if test.value is None:
+            return df.join(test.other, test.on, "left_anti")
+        # Not in: beyond the anti-join, a null on either side leaves the result unknown unless the set is empty.
+        found = self.contents(test)
+        return df.join(test.other, test.on, "left_anti").where((found == "none") | (found == "values") & test.value.isNotNull())
 
     def keep(self, frame: Frame, node: ast.Node, env: dict) -> None:
         """Filter `frame` in place by a predicate; conjuncts that test become semi- or anti-joins."""
@@ -254,9 +284,11 @@ class Compiler:
             return
         found = self.evaluate(node, env)
         if isinstance(found, Test) and found.frame is frame:
-            frame.df = frame.df.join(found.other, found.on, "left_anti" if found.negated else "left_semi")
+            frame.df = self.passing(frame.df, found)
             return
-        frame.df = frame.df.where(self.boolean(found).col)
+        # The condition may join what it reads; it is evaluated first.
+        condition = self.boolean(found).col
+        frame.df = frame.df.where(condition)
 
     def boolean(self, found) -> Value:
         if isinstance(found, Test):
@@ -511,7 +543,7 @@ class Compiler:
             owners = [f for f in self.frames if f.id in v.of]
             if len(owners) != 1:
                 raise AnalysisError(Rule.ARGUMENT_KIND, "in needs a value of the row")
-            return Test(owners[0], other, v.col == named(key), pairs=((v.col, key),))
+            return Test(owners[0], other, v.col == named(key), pairs=((v.col, key),), value=v.col)
         raise AnalysisError(Rule.ARGUMENT_KIND, "in takes a list or a one-column query")
 
     frames: list[Frame] = []
@@ -528,7 +560,7 @@ class Compiler:
             found = self.call(body, element, env=env)
             correlated = many.correlated
             if isinstance(found, Test) and found.frame is sub:
-                sub.df = sub.df.join(found.other, found.on, "left_anti" if found.negated else "left_semi")
+                sub.df = self.passing(sub.df, found)
             else:
                 v = self.boolean(found)
                 if many.owner.frame.id in v.of:

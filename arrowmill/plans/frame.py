@@ -132,6 +132,10 @@ class Test:
     negated: bool = False
     #: Equal pairs alone (left column, right name), if that is all `on` asks.
     pairs: tuple[tuple[Column, str], ...] | None = None
+    #: The value of a membership, whose nulls count: without a match the result is unknown if it is null or a null is in the set.
+    value: Column | None = None
+    #: The class row that owns a collection; its properties tell rows apart where `on` asks for more than equal pairs.
+    row: "ClassRow | None" = None
 
 
 @dataclass(frozen=True)

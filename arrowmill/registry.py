@@ -46,11 +46,12 @@ PAIRS: dict[str, tuple[str, str, str]] = {
     "in_list": ("P16", "|shop::Nation.all()->filter(x|$x.name->in(['NATION_1', 'NATION_3']))->project(~[k: x|$x.key])", "SELECT n_nationkey AS k FROM nation WHERE n_name IN ('NATION_1', 'NATION_3')"),
     "in_subquery": ("P16 S11", f"|shop::Customer.all()->filter(x|$x.nationKey->in({T('nation')}->filter(n|$n.getInteger('n_regionkey') == 1).n_nationkey))->project(~[k: x|$x.key])", "SELECT c_custkey AS k FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)"),
     "in_let": ("P16 Q2", "{|let some = shop::Nation.all()->filter(n|$n.regionKey == 2).key; shop::Supplier.all()->filter(x|$x.nationKey->in($some))->project(~[k: x|$x.key]);}", "SELECT s_suppkey AS k FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)"),
-    "not_in_subquery": ("P30", "|shop::Customer.all()->filter(x|!$x.nationKey->in(shop::Nation.all()->filter(n|$n.regionKey == 1).key))->project(~[k: x|$x.key])", "SELECT c_custkey AS k FROM customer c WHERE NOT EXISTS (SELECT 1 FROM nation n WHERE n.n_nationkey = c.c_nationkey AND n.n_regionkey = 1)"),
+    "not_in_subquery": ("P30", "|shop::Customer.all()->filter(x|!$x.nationKey->in(shop::Nation.all()->filter(n|$n.regionKey == 1).key))->project(~[k: x|$x.key])", "SELECT c_custkey AS k FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)"),
     "in_or_condition": ("P16 P14", "|shop::Customer.all()->filter(x|$x.nationKey->in(shop::Nation.all()->filter(n|$n.regionKey == 1).key) || $x.balance > 9000)->project(~[k: x|$x.key])", "SELECT c_custkey AS k FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) OR c_acctbal > 9000"),
     "between": ("P17", "|shop::LineItem.all()->filter(x|$x.quantity->between(5, 10))->project(~[k: x|$x.orderKey, n: x|$x.number])", "SELECT l_orderkey AS k, l_linenumber AS n FROM lineitem WHERE l_quantity BETWEEN 5 AND 10"),
     "exists_many": ("P18 J7", "|shop::Customer.all()->filter(c|$c.orders->exists(o|$o.total > 450000))->project(~[k: c|$c.key])", "SELECT c_custkey AS k FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 450000)"),
     "exists_correlated": ("P18", "|shop::Order.all()->filter(o|$o.lines->exists(l|$l.price * 4 > $o.total))->project(~[k: o|$o.key])", "SELECT o_orderkey AS k FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_extendedprice * 4 > o.o_totalprice)"),
+    "exists_correlated_or": ("P18", "|shop::Order.all()->filter(o|$o.lines->exists(l|$l.price * 4 > $o.total) || $o.total > 300000)->project(~[k: o|$o.key])", "SELECT o_orderkey AS k FROM orders o WHERE o_totalprice > 300000 OR EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_extendedprice * 4 > o.o_totalprice)"),
     "is_empty_many": ("P19 J7", "|shop::Customer.all()->filter(c|$c.orders->filter(o|$o.total > 450000)->isEmpty())->project(~[k: c|$c.key])", "SELECT c_custkey AS k FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 450000)"),
     "is_not_empty_value": ("P19", "|shop::Customer.all()->filter(c|$c.nation.name->isNotEmpty())->project(~[k: c|$c.key])", "SELECT c_custkey AS k FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_name IS NOT NULL"),
     "contains_string": ("P20", "|shop::Part.all()->filter(x|$x.kind->contains('MO'))->project(~[k: x|$x.key])", "SELECT p_partkey AS k FROM part WHERE contains(p_type, 'MO')"),
@@ -70,6 +71,8 @@ PAIRS: dict[str, tuple[str, str, str]] = {
     "join_grouped": ("J5", "|shop::Customer.all()->project(~[n: x|$x.nationKey, c: x|$x.key])->groupBy(~n, ~customers: x|$x.c : y|$y->count())->join(shop::Supplier.all()->project(~[m: x|$x.nationKey, s: x|$x.key])->groupBy(~m, ~suppliers: x|$x.s : y|$y->distinct()->count()), JoinKind.INNER, {a, b|$a.n == $b.m})->select(~[n, customers, suppliers])", "SELECT n, customers, suppliers FROM (SELECT c_nationkey AS n, count(c_custkey) AS customers FROM customer GROUP BY 1) JOIN (SELECT s_nationkey AS m, count(DISTINCT s_suppkey) AS suppliers FROM supplier GROUP BY 1) ON n = m"),
     "join_theta": ("J3 J8", "|shop::Region.all()->project(~[a: x|$x.key])->join(shop::Region.all()->project(~[b: x|$x.key]), JoinKind.INNER, {x, y|$x.a != $y.b})", "SELECT x.r_regionkey AS a, y.r_regionkey AS b FROM region x JOIN region y ON x.r_regionkey <> y.r_regionkey"),
     "count_many": ("J7 A5", "|shop::Customer.all()->project(~[k: c|$c.key, n: c|$c.orders->count(), big: c|$c.orders->filter(o|$o.total > 200000)->size()])", "SELECT c_custkey AS k, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) AS big FROM customer"),
+    "count_many_correlated": ("J7 A5", "|shop::Customer.all()->project(~[k: c|$c.key, n: c|$c.orders->filter(o|$o.total > $c.balance * 30)->count(), top: c|$c.orders->filter(o|$o.total > $c.balance * 30).total->max()])", "SELECT c_custkey AS k, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 30) AS n, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 30) AS top FROM customer"),
+    "not_in_or_condition": ("P16 P30", "|shop::Customer.all()->filter(x|!($x.nationKey->in(shop::Nation.all()->filter(n|$n.regionKey == 1).key) || $x.balance > 9000))->project(~[k: x|$x.key])", "SELECT c_custkey AS k FROM customer WHERE NOT (c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) OR c_acctbal > 9000)"),
     "sum_many": ("J7 A7", "|shop::Customer.all()->project(~[k: c|$c.key, t: c|$c.orders.amount->sum()->cast(@Float)])", "SELECT c_custkey AS k, (SELECT CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) FROM orders WHERE o_custkey = c_custkey) AS t FROM customer"),
     "nested_many": ("J7", "|shop::Customer.all()->filter(c|$c.orders.lines->exists(l|$l.quantity == 50 && $l.flag == 'R'))->project(~[k: c|$c.key])", "SELECT c_custkey AS k FROM customer WHERE EXISTS (SELECT 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey AND l_quantity = 50 AND l_returnflag = 'R')"),
     "as_of_join": ("J9", "|shop::Order.all()->filter(o|$o.customerKey < 300)->project(~[o: x|$x.key, c: x|$x.customerKey, d: x|$x.date])->asOfJoin(shop::Order.all()->filter(o|$o.status == 'F')->project(~[f: x|$x.key, fc: x|$x.customerKey, fd: x|$x.date]), {a, b|$a.d > $b.fd}, {a, b|$a.c == $b.fc})->select(~[o, fd])", "SELECT a.o_orderkey AS o, (SELECT max(b.o_orderdate) FROM orders b WHERE b.o_orderstatus = 'F' AND b.o_custkey = a.o_custkey AND b.o_orderdate < a.o_orderdate) AS fd FROM orders a WHERE a.o_custkey < 300"),
@@ -87,7 +90,8 @@ PAIRS: dict[str, tuple[str, str, str]] = {
     "having": ("A12", f"|{T('orders')}->groupBy('o_custkey', agg('cnt', r|$r, y|$y->count()))->filter(r|$r.getInteger('cnt') >= 15)", "SELECT o_custkey, count(*) AS cnt FROM orders GROUP BY 1 HAVING count(*) >= 15"),
     "distinct_row": ("A13", f"|{T('lineitem')}->restrict('l_returnflag')->distinct()", "SELECT DISTINCT l_returnflag FROM lineitem"),
     "distinct_on": ("A14", "|shop::LineItem.all()->project(~[flag: x|$x.flag, n: x|$x.number, status: x|$x.status])->distinct(~[flag, status])", "SELECT DISTINCT l_returnflag AS flag, l_linestatus AS status FROM lineitem"),
-    "pivot_status": ("A16", "|shop::LineItem.all()->project(~[flag: x|$x.flag, status: x|$x.status, q: x|$x.quantity])->pivot(~[status], ~[qty: x|$x.q : y|$y->sum()])", "SELECT l_returnflag AS flag, sum(l_quantity) FILTER (l_linestatus = 'F') AS \"F__qty\", sum(l_quantity) FILTER (l_linestatus = 'O') AS \"O__qty\" FROM lineitem GROUP BY 1"),
+    "pivot_status": ("A16", "|shop::LineItem.all()->project(~[flag: x|$x.flag, status: x|$x.status, q: x|$x.quantity])->pivot(~[status], ['F', 'O'], ~[qty: x|$x.q : y|$y->sum()])", "SELECT l_returnflag AS flag, sum(l_quantity) FILTER (l_linestatus = 'F') AS \"F__qty\", sum(l_quantity) FILTER (l_linestatus = 'O') AS \"O__qty\" FROM lineitem GROUP BY 1"),
+    "pivot_found_values": ("A16", "|shop::LineItem.all()->project(~[flag: x|$x.flag, status: x|$x.status, q: x|$x.quantity])->pivot(~[status], ~[qty: x|$x.q : y|$y->sum()])", "SELECT l_returnflag AS flag, sum(l_quantity) FILTER (l_linestatus = 'F') AS \"F__qty\", sum(l_quantity) FILTER (l_linestatus = 'O') AS \"O__qty\" FROM lineitem GROUP BY 1"),
     "olap_row_number": ("W1 W2", f"|{T('orders')}->restrict(['o_orderkey', 'o_custkey', 'o_totalprice'])->olapGroupBy(['o_custkey'], desc('o_totalprice'), asc('o_orderkey'), y|$y->rowNumber(), 'rn')->restrict(['o_orderkey', 'rn'])", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS rn FROM orders"),
     "window_sum": ("W3 W4 W5", "|shop::Order.all()->project(~[o: x|$x.key, c: x|$x.customerKey, a: x|$x.amount])->extend(over(~c), ~[t: {p, w, r|$r.a} : y|$y->sum()->cast(@Float)])->select(~[o, t])", "SELECT o_orderkey AS o, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey) AS DOUBLE) AS t FROM orders"),
     "window_rank": ("W6", "|shop::Supplier.all()->project(~[s: x|$x.key, n: x|$x.nationKey, b: x|$x.balance])->extend(over(~n, ~b->ascending()), ~[rk: {p, w, r|$p->rank($w, $r)}])->select(~[s, rk])", "SELECT s_suppkey AS s, rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal) AS rk FROM supplier"),
@@ -99,7 +103,8 @@ PAIRS: dict[str, tuple[str, str, str]] = {
     "sort_direction": ("O2", f"|{T('nation')}->restrict(['n_nationkey'])->sort('n_nationkey', SortDirection.DESC)->limit(3)", "SELECT n_nationkey FROM nation ORDER BY n_nationkey DESC LIMIT 3"),
     "sort_nulls_first": ("O4", "|shop::Region.all()->project(~[k: x|if($x.key < 2, |$x.key, |$x.key)])->sort([ascending(~k)->nullsFirst()])->take(2)", "SELECT r_regionkey AS k FROM region ORDER BY 1 NULLS FIRST LIMIT 2"),
     "sort_stable": ("O5", f"|{T('nation')}->restrict(['n_nationkey', 'n_regionkey'])->sort(desc('n_nationkey'))->sort(asc('n_regionkey'))->limit(20)", "SELECT n_nationkey, n_regionkey FROM nation ORDER BY n_regionkey, n_nationkey DESC LIMIT 20"),
-    "sort_by_stable": ("O10 F22", "|[21, 12, 22, 11]->sortBy(x|$x->floor() / 10)->sortBy(x|$x->mod(10))->take(2)", "SELECT CAST(v AS BIGINT) AS value FROM (VALUES (21), (11)) t(v)"),
+    "sort_by_stable": ("O10 F22", "|[58, 34, 74, 38, 94]->sortBy(x|$x->mod(7))->sortBy(x|$x->mod(10))->take(2)", "SELECT CAST(v AS BIGINT) AS value FROM (VALUES (94), (74)) t(v)"),
+    "to_bytes": ("F24", "|shop::Nation.all()->project(~[name: n|$n.name, raw: n|$n.name->toBytes()])->filter(r|$r.raw->isNotEmpty())->project(~[name: r|$r.name])", "SELECT n_name AS name FROM nation WHERE encode(n_name) IS NOT NULL"),
     "drop_slice": ("O9", "|shop::Nation.all()->project(~[k: x|$x.key])->sort([ascending(~k)])->drop(3)->slice(2, 6)", "SELECT n_nationkey AS k FROM nation ORDER BY 1 LIMIT 4 OFFSET 5"),
     "reverse_last": ("O9", "|shop::Nation.all()->project(~[k: x|$x.key])->sort([ascending(~k)])->reverse()->init()->last()", "SELECT n_nationkey AS k FROM nation WHERE n_nationkey = 1"),
     "fold_add": ("O9", "|[1, 2, 3]->add(4)->fold({x, a|$x + $a}, 10)", "SELECT CAST(20 AS BIGINT) AS value"),
