@@ -1,21 +1,22 @@
 """Quality rules with risk-controlled cutoffs (native).
 
 Every document gets four counts. Base limits reject documents that are too
-short or mostly repetition. Beyond them, each of three rules ("too many
-symbols", "too many repeated lines", "too many repeated word windows") has a
-grid of cutoffs from lax to strict. Labelled clean documents decide how strict
-a rule may be in a stratum (a language): a cutoff is admitted only if the exact
-binomial tail shows, at the corrected level, that it rejects at most its share
-of the clean documents. The grid is walked in a fixed order and stops at the
-first cutoff that fails, so only rules and strata need a Bonferroni correction
-(fixed-sequence testing). The shares of the rules add up to `alpha`, hence so
-does what they reject together.
+short or mostly repetition. Beyond them three rules ("too many symbols", "too
+many repeated lines", "too many repeated word windows") have cutoffs from lax to
+strict, which one fixed walk tightens in turn: step 3 * j + r brings rule r to
+its cutoff number j. Labelled clean documents decide how far the walk goes in a
+stratum (a language): a step is admitted only if the exact binomial tail shows,
+at the corrected level, that all cutoffs so far together reject at most `alpha`
+of the clean documents. The walk stops at the first step that fails, so its
+steps need no correction (fixed-sequence testing) and strata share `delta`
+(Bonferroni): with a chance of 1 - delta no stratum loses more than alpha of its
+clean documents.
 
 Edge cases: a null or empty text has no words and fails the base limits; a null
 language is a stratum of its own; a stratum with too few labels admits no
 cutoff, so only base limits apply there; repeated rows are judged one by one,
 but a labelled document is one trial whatever its rows, that of the row which
-the rules hit hardest; labels that disagree about a document count as not clean.
+is rejected first; labels that disagree about a document count as not clean.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from .common import WS, among, let, words_sql, written
 
 RULES = ("symbols", "lines", "windows")
 CUTOFFS = (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02, 0.01)
+STEPS = len(RULES) * len(CUTOFFS)
 WINDOW = 5
 ALPHA, DELTA = 0.05, 0.05
 NO_LANGUAGE = ""
@@ -94,35 +96,37 @@ def clean(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("ok")).where("ok = 1").select("doc_id")
 
 
+def first_step(q: str = "__q") -> str:
+    """SQL for the number of the first step that rejects a document with features `q`; from STEPS on: none does."""
+    cuts = f"array({', '.join(f'{c}D' for c in CUTOFFS)})"
+    return "least({})".format(", ".join(f"{len(RULES)} * size(filter({cuts}, c -> c >= `{q}`.{r})) + {i}" for i, r in enumerate(RULES)))
+
+
 def calibrate(featured: DataFrame, labels: DataFrame, *, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA, q: str = "__q") -> DataFrame:
-    """One row per stratum with the strictest admitted cutoff of each rule (null: none).
+    """One row per stratum with the last step admitted (-1: none) and the cutoff that it gives each rule (null: none).
 
-    Only counts leave the executors' partitions: per stratum, rule and level.
+    Only counts leave the executors' partitions: per stratum and step.
     """
-    levels = ", ".join(f"named_struct('rule', '{r}', 'level', size(filter(array({', '.join(f'{c}D' for c in CUTOFFS)}), c -> c < `{q}`.{r})))" for r in RULES)
-    narrow = featured.select("doc_id", F.coalesce(F.col(stratum), F.lit(NO_LANGUAGE)).alias("stratum"), F.expr(f"array({levels})").alias("at"))
-    # One trial a document, whatever its rows: the one whose levels are the strictest.
-    trials = narrow.join(clean(labels), "doc_id").groupBy("doc_id").agg(F.max(F.struct("at", "stratum")).alias("t"))
-    counts = trials.select("t.stratum", F.inline("t.at")).groupBy("stratum", "rule", "level").agg(F.count(F.lit(1)).alias("n"))
-    # A document is above cutoff number j (from 0, laxest first) if its level, the number of cutoffs below its share, is at least len - j.
-    grid = counts.groupBy("stratum", "rule").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("at"))
-    above = "aggregate(filter(map_entries(at), e -> e.key >= {m} - j), 0L, (a, e) -> a + e.value)".format(m=len(CUTOFFS))
-    tests = grid.select("stratum", "rule", "n", "at", F.explode(F.sequence(F.lit(0), F.lit(len(CUTOFFS) - 1))).alias("j")).select("stratum", "rule", "n", "j", F.expr(above).alias("k"))
-    strata = counts.select("stratum").distinct().agg(F.count(F.lit(1)).alias("strata"))
-    level = F.lit(delta / len(RULES)) / F.col("strata")
+    narrow = featured.select("doc_id", F.coalesce(F.col(stratum), F.lit(NO_LANGUAGE)).alias("stratum"), F.expr(first_step(q)).alias("first"))
+    # One trial a document, whatever its rows: the one that is rejected first.
+    trials = narrow.join(clean(labels), "doc_id").groupBy("doc_id").agg(F.min(F.struct("first", "stratum")).alias("t"))
+    counts = trials.groupBy("t.stratum", "t.first").agg(F.count(F.lit(1)).alias("n"))
+    grid = counts.groupBy("stratum").agg(F.sum("n").alias("n"), F.collect_list(F.struct("first", "n")).alias("at"))  # at most STEPS + 3 entries
+    tests = grid.select("stratum", "n", "at", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))).alias("step")).select("stratum", "n", "step", F.expr("aggregate(filter(at, e -> e.first <= step), 0L, (a, e) -> a + e.n)").alias("k"))
     # One row; its broadcast has a proven bound.
-    passed = tests.join(F.broadcast(strata)).withColumn("ok", F.expr(binomial_tail_sql("n", "k", alpha / len(RULES))) <= level)
-    run = passed.withColumn("ok", F.min(F.col("ok")).over(Window.partitionBy("stratum", "rule").orderBy("j")))
-    cutoff = F.element_at(F.array(*[F.lit(c) for c in CUTOFFS]), F.col("j") + 1)
-    return run.where("ok").groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, cutoff)).alias(f"cut_{r}") for r in RULES])
+    strata = counts.select("stratum").distinct().agg(F.count(F.lit(1)).alias("strata"))
+    passed = tests.join(F.broadcast(strata)).withColumn("ok", F.expr(binomial_tail_sql("n", "k", alpha)) <= F.lit(delta) / F.col("strata"))
+    run = passed.withColumn("ok", F.min("ok").over(Window.partitionBy("stratum").orderBy("step")))
+    last = run.groupBy("stratum").agg(F.coalesce(F.max(F.when(F.col("ok"), F.col("step"))), F.lit(-1)).alias("last"))
+    cut = lambda i: F.expr(f"get(array({', '.join(f'{c}D' for c in CUTOFFS)}), cast(floor((last - {i}) / {len(RULES)}) as int))")
+    return last.select("stratum", "last", *[F.when(F.col("last") >= i, cut(i)).alias(f"cut_{r}") for i, r in enumerate(RULES)])
 
 
 def judge(featured: DataFrame, cutoffs: DataFrame, *, stratum: str = "lang", q: str = "__q", to: str = "__kept") -> DataFrame:
-    """`featured` with a boolean: true if neither base limits nor a cutoff of its stratum reject the document."""
-    cuts = cutoffs.select(F.col("stratum").alias("__stratum"), F.struct(*[f"cut_{r}" for r in RULES]).alias("__cuts"))
+    """`featured` with a boolean: true if neither base limits nor a step admitted for its stratum reject the document."""
+    cuts = cutoffs.select(F.col("stratum").alias("__stratum"), F.col("last").alias("__last"))
     joined = featured.join(cuts, F.coalesce(F.col(stratum), F.lit(NO_LANGUAGE)) == F.col("__stratum"), "left")
-    over = " or ".join(f"coalesce(`{q}`.{r} > __cuts.cut_{r}, false)" for r in RULES)
-    return joined.withColumn(to, F.expr(f"not `{q}`.base_failed and not ({over})")).drop("__stratum", "__cuts")
+    return joined.withColumn(to, F.expr(f"not `{q}`.base_failed and not coalesce({first_step(q)} <= __last, false)")).drop("__stratum", "__last")
 
 
 def assess(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
@@ -162,19 +166,17 @@ FEATURES_SQL = rf"""
     )"""
 
 CUTS_SQL = f"""
-    clean AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
     cuts(cut) AS (VALUES {", ".join(f"({c}::DOUBLE)" for c in CUTOFFS)}),
-    levelled AS (SELECT f.*, (SELECT count(*) FROM cuts WHERE cut < f.symbols) AS l1, (SELECT count(*) FROM cuts WHERE cut < f.lines) AS l2, (SELECT count(*) FROM cuts WHERE cut < f.windows) AS l3 FROM feats f JOIN clean USING (doc_id)),
-    trials AS (SELECT * FROM levelled QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY l1 DESC, l2 DESC, l3 DESC, coalesce(lang, '') DESC) = 1),
-    shares AS (UNPIVOT (SELECT coalesce(lang, '') AS stratum, symbols, lines, windows FROM trials) ON symbols, lines, windows INTO NAME rule VALUE share),
-    tests AS (SELECT stratum, rule, cut, count(*) AS n, count(*) FILTER (share > cut) AS k FROM shares, cuts GROUP BY ALL),
-    tails AS (SELECT *, CASE WHEN k >= n * {ALPHA / len(RULES)!r} THEN 1.0 ELSE (
-        SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA / len(RULES)!r}) + (n - i) * ln({1 - ALPHA / len(RULES)!r}))) FROM range(0, k + 1) r(i)) END AS p FROM tests),
-    runs AS (SELECT *, bool_and(p <= {DELTA / len(RULES)!r} / (SELECT count(DISTINCT stratum) FROM shares)) OVER (PARTITION BY stratum, rule ORDER BY cut DESC) AS ok FROM tails),
-    picked AS (SELECT stratum, rule, min(cut) AS cut FROM runs WHERE ok GROUP BY ALL)"""
-
-KEPT_SQL = """NOT f.base_failed AND NOT EXISTS (SELECT 1 FROM picked p WHERE p.stratum = coalesce(f.lang, '')
-      AND CASE p.rule WHEN 'symbols' THEN f.symbols WHEN 'lines' THEN f.lines ELSE f.windows END > p.cut)"""
+    steps AS (SELECT *, least(3 * (SELECT count(*) FROM cuts WHERE cut >= symbols), 3 * (SELECT count(*) FROM cuts WHERE cut >= lines) + 1, 3 * (SELECT count(*) FROM cuts WHERE cut >= windows) + 2) AS first FROM feats),
+    clean AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+    trials AS (SELECT coalesce(lang, '') AS stratum, first FROM steps JOIN clean USING (doc_id) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY first, coalesce(lang, '')) = 1),
+    tests AS (SELECT stratum, step, count(*) AS n, count(*) FILTER (first <= step) AS k FROM trials, range(0, {STEPS}) r(step) GROUP BY ALL),
+    tails AS (SELECT *, CASE WHEN k >= n * {ALPHA!r} THEN 1.0 ELSE (
+        SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA!r}) + (n - i) * ln({1 - ALPHA!r}))) FROM range(0, k + 1) r(i)) END AS p FROM tests),
+    runs AS (SELECT *, bool_and(p <= {DELTA!r} / (SELECT count(DISTINCT stratum) FROM trials)) OVER (PARTITION BY stratum ORDER BY step) AS ok FROM tails),
+    picked AS (SELECT stratum, max(step) AS last FROM runs WHERE ok GROUP BY ALL)"""
+
+KEPT_SQL = """NOT f.base_failed AND NOT EXISTS (SELECT 1 FROM picked p WHERE p.stratum = coalesce(f.lang, '') AND f.first <= p.last)"""
 
 SQL = f"""WITH feats AS ({FEATURES_SQL.format(docs="documents")}), {CUTS_SQL}
-SELECT f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, f.base_failed, {KEPT_SQL} AS kept FROM feats f"""
+SELECT f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, f.base_failed, {KEPT_SQL} AS kept FROM steps f"""

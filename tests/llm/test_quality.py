@@ -43,7 +43,7 @@ def test_counts(make, labels, edges):
 
 @pytest.mark.parametrize("n, k", [(1, 0), (350, 0), (350, 3), (5000, 60), (200_000, 3200), (10, 9)])
 def test_binomial_tail_is_exact(spark, n, k):
-    p = 0.05 / 3
+    p = quality.ALPHA
     got = spark.range(1).selectExpr(f"{quality.binomial_tail_sql(f'cast({n} as bigint)', f'cast({k} as bigint)', p)} as p").first().p
     if k >= n * p:
         assert got == 1.0
@@ -62,3 +62,44 @@ def test_cutoffs_limit_false_rejections(make, labels):
     docs = make(rows, clash=True)
     out = quality.keep(docs, labels(marks))
     assert out.columns == docs.columns and out.count() == 3050
+
+
+def test_cutoffs_in_several_strata_equal_the_sql(spark, make, labels):
+    """Labels enough for cutoffs of several strengths: a clean stratum, one with some symbols and lines, one with too few labels, one without a language."""
+    import random
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+
+    def text(symbols, lines):
+        w = [word() for _ in range(40)]
+        return " ".join(w) + "#$" * symbols + "\nsame line" * lines
+
+    rows, marks = [], []
+    for lang, n, dirty in (("aa", 400, 0.0), ("bb", 700, 0.08), ("cc", 60, 0.0), (None, 300, 0.01)):
+        for i in range(n):
+            d = len(rows)
+            bad = r.random() < dirty
+            rows.append((d, text(r.randrange(4, 60) if bad else r.randrange(0, 2), r.randrange(2, 6) if bad else 0), lang, "a"))
+            marks.append((d, 1, 0))
+        for _ in range(60):  # unlabelled, and labelled as bad
+            d = len(rows)
+            rows.append((d, text(r.randrange(0, 120), r.randrange(0, 9)), lang, "a"))
+            if d % 2:
+                marks.append((d, 0, 0))
+    rows += [(0, text(100, 9), "aa", "a"), rows[0], (None, text(50, 0), "aa", "a")]  # one labelled document, several rows
+    docs, known = make(rows), labels(marks + [(0, 1, 0), (None, 1, 0)])
+    cuts = {x.stratum: x for x in quality.calibrate(quality.with_features(docs), known).collect()}
+    assert cuts["aa"].last > cuts["bb"].last >= 0 and cuts[""].last >= 0 and cuts["cc"].last == -1 and cuts["cc"].cut_symbols is None
+    assert cuts["aa"].cut_symbols <= cuts["bb"].cut_symbols
+    c = duckdb.connect()
+    c.register("documents", docs.toPandas())
+    c.register("labels", known.toPandas().astype("Int64"))
+    ours = sorted(((x.doc_id, x.n_words, x.base_failed, x.kept) for x in quality.assess(docs, known).collect()), key=repr)
+    theirs = sorted(c.execute(f"SELECT CAST(doc_id AS BIGINT), n_words, base_failed, kept FROM ({quality.SQL})").fetchall(), key=repr)
+    assert ours == theirs and len({x[3] for x in ours}) == 2
+    by_method = lambda lang: sum(not x[3] and not x[2] for x in ours if x[0] is not None and rows[x[0]][2] == lang)
+    assert by_method("aa") > by_method("bb") > 0 and by_method(None) > 0 and by_method("cc") == 0
+    # The pipeline's form, which computes features of labelled documents first, keeps the same rows.
+    judged = quality.judge(quality.with_features(docs), quality.calibrate(quality.with_features(docs), known))
+    assert sorted((repr(x.doc_id), x.text) for x in quality.keep(docs, known).collect()) == sorted((repr(x.doc_id), x.text) for x in judged.where("__kept").collect())
