@@ -15,9 +15,12 @@ matrices are scanned for the states at the chunk borders; then each chunk is
 decoded between its border states. Texts move once, by chunk.
 
 Edge cases: null and empty texts are one empty line; rows with equal turns are
-ordered by a hash of their text, null turns come first; a null conv_id is a
-conversation of its own; without roles to learn the three usual ones are used;
-repeated rows are repeated turns.
+ordered by a hash of their text, null turns come first; rows without a conv_id
+have no known order, so each is a conversation of its own and is decoded where
+it is scanned; without roles to learn the three usual ones are used; repeated
+rows are repeated turns. conv_id may be of any type, role values are taken to be
+few. A chunk is read by one task, so a conversation's rows must be spread over
+turns.
 """
 
 from __future__ import annotations
@@ -27,6 +30,9 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import ships, written
 from .lang_id import held_out
@@ -123,12 +129,15 @@ def _ordered(rows: DataFrame) -> DataFrame:
 
 def learn(rows: DataFrame) -> Model:
     """The model of all rows with a role outside the held-out conversations; counts alone reach the driver."""
-    from pyspark.sql import Window
-
     known = _ordered(rows.where(F.col("role").isNotNull() & ~held_out(F.col("conv_id"))).select("conv_id", "turn", "role", "text"))
-    # Changes are counted within chunks; a first turn follows nothing.
-    before = F.lag("role").over(Window.partitionBy("conv_id", "__chunk").orderBy(F.col("turn").asc_nulls_first(), "__tie"))
-    seen = known.withColumn("before", F.coalesce(before, F.when(F.col("__chunk") == 0, F.lit("")))).select("role", "before", "text")
+    place = F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))), "__tie")
+    alone = F.col("conv_id").isNull()
+    within = F.lag("role").over(Window.partitionBy("conv_id", "__chunk").orderBy(F.col("turn").asc_nulls_first(), "__tie"))
+    # A chunk's first row follows the last of the chunk before; a conversation's first row follows nothing.
+    last = known.where(~alone).groupBy("conv_id", "__chunk").agg(F.max_by("role", place).alias("last"))
+    carried = last.select(F.col("conv_id").alias("__c"), F.col("__chunk").alias("__k"), F.lag("last").over(Window.partitionBy("conv_id").orderBy("__chunk")).alias("carried"))
+    inside = known.where(~alone).withColumn("before", within).join(carried, (F.col("conv_id") == F.col("__c")) & (F.col("__chunk") == F.col("__k"))).select("role", F.coalesce("before", "carried", F.lit("")).alias("before"), "text")
+    seen = inside.unionByName(known.where(alone).select("role", F.lit("").alias("before"), "text"))
     counts, changes = {}, {}
     for r in seen.mapInArrow(_counter, "role string, f int, v string, n long").groupBy("role", "f", "v").agg(F.sum("n").alias("n")).collect():
         if r["f"] < 0:
@@ -156,7 +165,7 @@ def _joined(m: np.ndarray, step: np.ndarray) -> np.ndarray:
     return (m[:, :, None] + step[None, :, :]).max(axis=1)
 
 
-def _matrices(model: Model):
+def _matrices(model: Model, kind):
     def run(batches):
         import pyarrow as pa
 
@@ -165,12 +174,12 @@ def _matrices(model: Model):
             for row in rows:
                 for step in model.steps(observed(row[3])):
                     m = step if m is None else _joined(m, step)
-            yield pa.record_batch([pa.array([conv], pa.int64()), pa.array([chunk], pa.int64()), pa.array([m.ravel().tolist()], pa.list_(pa.float64()))], names=["conv_id", "__chunk", "m"])
+            yield pa.record_batch([pa.array([conv], kind), pa.array([chunk], pa.int64()), pa.array([m.ravel().tolist()], pa.list_(pa.float64()))], names=["conv_id", "__chunk", "m"])
 
     return run
 
 
-def _borders(model: Model):
+def _borders(model: Model, kind):
     s = len(model.roles) + 1
 
     def run(batches):
@@ -188,7 +197,7 @@ def _borders(model: Model):
                 states.append((int(b[end]), end))
                 end = int(b[end])
             states.reverse()
-            yield pa.record_batch([pa.array([conv] * len(chunks), pa.int64()), pa.array(chunks, pa.int64()), pa.array([x[0] for x in states], pa.int32()), pa.array([x[1] for x in states], pa.int32())], names=["conv_id", "__chunk", "before", "end"])
+            yield pa.record_batch([pa.array([conv] * len(chunks), kind), pa.array(chunks, pa.int64()), pa.array([x[0] for x in states], pa.int32()), pa.array([x[1] for x in states], pa.int32())], names=["conv_id", "__chunk", "before", "end"])
 
     return run
 
@@ -211,11 +220,14 @@ def canonical(role: str, text: str) -> str:
     return f"<|{role}|>\n{text.strip()}\n<|end|>"
 
 
-def _turns(model: Model):
+def _turns(model: Model, kind, single: bool = False):
+    """Turns of each chunk between its border states, or (`single`) of each row by itself."""
+
     def run(batches):
         import pyarrow as pa
 
-        for (conv, _), rows in _groups(batches, 2):
+        runs = ((row[:2], [row]) for b in batches for row in zip(*(c.to_pylist() for c in b.columns))) if single else _groups(batches, 2)
+        for (conv, _), rows in runs:
             lines, of = [], []
             for n, row in enumerate(rows):
                 for line in observed(row[3]):
@@ -232,7 +244,7 @@ def _turns(model: Model):
                 last = n, state
             texts = ["\n".join(x[4]) for x in out]
             yield pa.record_batch(
-                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.string()), pa.array(texts, pa.string()), pa.array([canonical(x[3], t) for x, t in zip(out, texts)], pa.string())],
+                [pa.array([x[0] for x in out], kind), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.string()), pa.array(texts, pa.string()), pa.array([canonical(x[3], t) for x, t in zip(out, texts)], pa.string())],
                 names=["conv_id", "turn", "part", "role", "text", "rendered"],
             )
 
@@ -241,15 +253,20 @@ def _turns(model: Model):
 
 def parse(rows: DataFrame, model: Model) -> DataFrame:
     """conv_id, turn, part (a row's turns from 0), role, text without markers and the canonical rendering, from conv_id, turn and text."""
-    first = _ordered(rows.select("conv_id", "turn", "text"))
+    first = _ordered(rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "text"))
+    own = first.schema["conv_id"].dataType
+    kind, typed = to_arrow_type(own), lambda *more: T.StructType([T.StructField("conv_id", own), *(T.StructField(n, t) for n, t in more)])
+    turns = typed(("turn", T.LongType()), ("part", T.IntegerType()), ("role", T.StringType()), ("text", T.StringType()), ("rendered", T.StringType()))
+    known, loose = first.where("conv_id is not null"), first.where("conv_id is null")
     keys, order = ["conv_id", "__chunk"], [F.col("turn").asc_nulls_first(), F.col("__tie")]
-    sequence = first.select("conv_id", "__chunk", "turn", "text", "__tie").repartition(*keys).sortWithinPartitions(*keys, *order)
-    matrices = written(sequence.mapInArrow(_matrices(model), "conv_id long, __chunk long, m array<double>"), "matrices")
-    borders = written(matrices.repartition("conv_id").sortWithinPartitions("conv_id", "__chunk").mapInArrow(_borders(model), "conv_id long, __chunk long, before int, end int"), "borders")
+    sequence = known.select("conv_id", "__chunk", "turn", "text", "__tie").repartition(*keys).sortWithinPartitions(*keys, *order)
+    matrices = written(sequence.mapInArrow(_matrices(model, kind), typed(("__chunk", T.LongType()), ("m", T.ArrayType(T.DoubleType())))), "matrices")
+    borders = written(matrices.repartition("conv_id").sortWithinPartitions("conv_id", "__chunk").mapInArrow(_borders(model, kind), typed(("__chunk", T.LongType()), ("before", T.IntegerType()), ("end", T.IntegerType()))), "borders")
     b = borders.select(F.col("conv_id").alias("__c"), F.col("__chunk").alias("__k"), "before", "end")
-    joined = first.join(b, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("__chunk") == F.col("__k")))
+    joined = known.join(b, (F.col("conv_id") == F.col("__c")) & (F.col("__chunk") == F.col("__k")))
     ready = joined.select("conv_id", "__chunk", "turn", "text", "before", "end", "__tie").repartition(*keys).sortWithinPartitions(*keys, *order)
-    return ready.mapInArrow(_turns(model), "conv_id long, turn long, part int, role string, text string, rendered string")
+    single = loose.select("conv_id", "__chunk", "turn", "text", F.lit(None).cast("int").alias("before"), F.lit(None).cast("int").alias("end"))
+    return ready.mapInArrow(_turns(model, kind), turns).unionByName(single.mapInArrow(_turns(model, kind, single=True), turns))
 
 
 def format_chats(rows: DataFrame) -> DataFrame:

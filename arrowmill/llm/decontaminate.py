@@ -20,7 +20,7 @@ be is for Catalyst to tell by their size, and beyond that the same joins are
 shuffled.
 
 Edge cases: null and empty texts and items match nothing; an item of fewer than
-five words is one shingle; windows at a text's start or end are cut there;
+five words is one shingle; windows at a text's end are cut there;
 items that repeat are found each, a null item_id too; rows of one doc_id are
 judged each by its own text and reported together, repeated rows once; a null
 doc_id can't be reported but is dropped by `keep` all the same.
@@ -93,15 +93,16 @@ def matches(docs: DataFrame, items: DataFrame, *, key: list[str], radius: int =
     found = None
     for width in sorted(r[0] for r in known.select("width").distinct().collect()):
         own = places.where(F.col("width") == width).select("item", "m", "at", F.col("s").alias("__s"))
-        rolled = hashed.select(*key, F.posexplode(F.expr(_shingles("h", width))).alias("p", "v"))
+        rolled = hashed.select(*key, F.expr("size(h)").alias("n"), F.posexplode(F.expr(_shingles("h", width))).alias("p", "v"))
         # A map of fixed size leaves the places that may hold a shingle of the benchmark; the join after it is exact.
         met = among(rolled, ["v"], own.select("__s").distinct()).join(own, F.col("v") == F.col("__s"))
-        starts = met.select(*key, "item", "m", F.expr("greatest(p - at, 0)").alias("start"))
+        starts = met.select(*key, "item", "m", "n", "p", F.expr("p - at").alias("start"))
         found = starts if found is None else found.unionByName(starts)
     if found is None:
         return docs.where(F.lit(False)).select(*key, F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("start"), F.lit(0.0).alias("similarity"))
-    # Each window of a document stands once for an item, however many shingles lead to it.
-    laid = written(found.distinct(), "laid")
+    # Each window of a document stands once for an item, however many shingles lead to it. One that the text's end cuts off is laid from its first shared shingle, too.
+    aligned = found.groupBy(*key, "item", "m", "start").agg(F.min("p").alias("p"), F.max("n").alias("n"))
+    laid = written(aligned.select(*key, "item", "m", F.explode(F.expr("if(p + m > n, array(greatest(start, 0), p), array(greatest(start, 0)))")).alias("start")).distinct(), "laid")
     rows = among(docs.select(*key, "text"), key, laid.select(*key)).groupBy(*key).agg(F.first("text").alias("text")).select(*key, F.expr(_hashed("coalesce(text, '')")).alias("h"))
     windows = laid.join(rows, key).select(*key, "item", "start", F.expr("slice(h, start + 1, m)").alias("w")).withColumn("f", F.expr(simhash_sql("w")))
     windows = written(windows, "windows")

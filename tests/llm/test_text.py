@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import pytest
@@ -62,6 +63,48 @@ def test_leaks_equal_brute_force(spark, make):
     assert [x.text for x in kept.collect() if x.doc_id is None] == ["free text"]
 
 
+def test_items_with_common_parts_lose_no_link(spark, make):
+    """Items of several lengths with a common start or end, whose windows stand at the same places."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+    head, tail = [word() for _ in range(20)], [word() for _ in range(18)]
+    items = [(n, " ".join(head + [word() for _ in range(k)])) for n, k in enumerate((0, 6, 13))] + [(10 + n, " ".join([word() for _ in range(k)] + tail)) for n, k in enumerate((0, 3, 9))] + [(None, " ".join(word() for _ in range(12))), (None, items_text := " ".join(word() for _ in range(30)))]
+    docs = [(d, " ".join([word() for _ in range(d)] + items[d % 8][1].split() + [word() for _ in range(3)] + items[(d + 3) % 8][1].split())) for d in range(16)] + [(99, items_text)]
+    found = [(x.doc_id, x.item_id, round(x.similarity, 6)) for x in decontaminate.report(make([(d, t, "en", "a") for d, t in docs]), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    want = {}
+    for n, (i, t) in enumerate(items):
+        for (d, _), s in leaks(docs, [(n, t)]).items():
+            want[d, i] = max(want.get((d, i), 0), round(s, 6))
+    assert sorted(found, key=repr) == sorted(((d, i, s) for (d, i), s in want.items()), key=repr) and len(want) > 30
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_leaks_of_the_tables_equal_brute_force(spark, threshold):
+    """Shuffled and broadcast joins alike; the brute force looks at documents that share a shingle with an item."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        found = {(x.doc_id, x.item_id): round(x.similarity, 6) for x in decontaminate.report(docs, items).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plain = lambda t: re.sub(r"[\W_]+", " ", (t or "").lower()).split()
+    rows = [(r.item_id, r.text) for r in items.collect()]
+    places = {}
+    for i, t in rows:
+        w = plain(t)
+        for j in range(len(w) - 4):
+            places.setdefault(tuple(w[j : j + 5]), set()).add(i)
+    texts = dict(rows)
+    want = {}
+    for r in docs.collect():
+        w = plain(r.text)
+        for i in {i for j in range(len(w) - 4) for i in places.get(tuple(w[j : j + 5]), ())}:
+            want.update({k: round(s, 6) for k, s in leaks([(r.doc_id, r.text)], [(i, texts[i])]).items()})
+    assert found == want and len(want) > 20
+
+
 def test_leak_edges(spark, make, edges):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
@@ -296,6 +339,32 @@ def test_language_held_out(spark):
     assert found.where("lang = lang_pred").count() >= 0.98 * found.count() > 100
 
 
+def test_language_equals_a_plain_form(make):
+    """Letter by letter: rotated random vectors multiplied, added up, and the largest cosine."""
+    import numpy as np
+
+    docs = [(1, "the cat and the hat", "en"), (2, "der hund und der baum", "de"), (3, "Le chat, et le chien!", "fr"), (6, "cat 12 hat", None), (7, "über baum", "de"), (8, "ab", "en"), (9, "a", "fr"), (10, "the dog", "en"), (11, "x" * 50, None)]
+    size = 256
+    letter = lang_id.Bundler(size)._letter
+
+    def bundle(text):
+        plain, v = re.sub(r"[\W\d_]+", " ", f" {text.lower()} "), np.zeros(size)
+        for a, b, c in zip(plain, plain[1:], plain[2:]):
+            if b != " ":
+                v += np.roll(letter(0 if a == " " else ord(a)).astype(float), 2) * np.roll(letter(ord(b)).astype(float), 1) * letter(0 if c == " " else ord(c))
+        return v
+
+    free = [d for d in docs if d[2] and zlib.crc32(str(d[0]).encode()) % 5]
+    unit = lambda v: v / np.linalg.norm(v)
+    sums = {g: unit(sum(np.rint(unit(bundle(t)) * lang_id.UNIT) for _, t, x in free if x == g)) for g in {x for _, _, x in free}}
+    for r in lang_id.identify(make([(i, t, g, "a") for i, t, g in docs]), dimensions=size).collect():
+        text = next(t for i, t, _ in docs if i == r.doc_id)
+        cosines = {g: float(unit(bundle(text)) @ v) for g, v in sums.items()}
+        want = max(sorted(cosines), key=cosines.get)
+        assert r.score == pytest.approx(max(0.0, cosines[want]), abs=1e-5)
+        assert r.lang_pred == want or cosines[want] - cosines[r.lang_pred] < 1e-5
+
+
 def test_language_edges(make, edges):
     found = lang_id.identify(make(edges + [(50, "1234 ... ٠", "en", "a")], clash=True)).collect()
     assert len(found) == len(edges) + 1 and all(0 <= r.score <= 1 for r in found)
@@ -446,6 +515,50 @@ def test_chunks_decode_as_a_whole(spark, monkeypatch):
         assert got == whole
 
 
+def best_path(model, lines):
+    """The likeliest states, by trying all of them."""
+    best = None
+    for states in itertools.product(range(len(model.roles)), repeat=len(lines)):
+        score, before = 0.0, model.start
+        for step, state in zip(model.steps(lines), states):
+            score, before = score + step[before, state], state
+        if best is None or score > best[0] + 1e-9:
+            best = score, list(states)
+    return best
+
+
+def test_viterbi_equals_all_paths_of_short_transcripts(spark):
+    rows = table(spark, "/root/testdata/sf0.01", "conversations")
+    model = chat.learn(rows)
+    r = random.Random(8)
+    real = [x.text or "" for x in rows.limit(60).collect()]
+    texts = ["User: hi?", "no marker here\nBot: fine\nand more", "Q: what", "", "plain\n\nlines", "System: be brief"]
+    for n in range(40):
+        lines = [line for _ in range(r.randrange(1, 4)) for line in chat.observed(r.choice(texts if n % 2 else real))][:8]
+        score, states = best_path(model, lines)
+        got = chat.viterbi(model, lines)
+        total, before = 0.0, model.start
+        for step, state in zip(model.steps(lines), got):
+            total, before = total + step[before, state], state
+        assert total == pytest.approx(score)
+
+
+def test_changes_are_counted_across_chunks(spark, monkeypatch):
+    data = [(c, t, "user" if t % 2 else "assistant", f"text {t}") for c in range(10) for t in range(5, 25)]
+    rows = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    whole = chat.learn(rows)
+    monkeypatch.setattr(chat, "CHUNK", 3)
+    parts = chat.learn(rows)
+    assert (whole.change == parts.change).all()
+
+
+def test_chat_keys_of_other_types_and_rows_without_one(spark):
+    data = [("a", 0, "User: hi"), ("a", 1, "Bot: yes"), (None, 0, "User: alone"), (None, 0, "Bot: too\nUser: end"), (None, None, None)]
+    got = chat.parse(spark.createDataFrame(data, "conv_id string, turn int, text string"), chat.made({}, {})).collect()
+    assert sorted((x.role, x.text) for x in got if x.text) == [("assistant", "too"), ("assistant", "yes"), ("user", "alone"), ("user", "end"), ("user", "hi")]
+    assert {x.conv_id for x in got} == {"a", None} and len(got) == 6
+
+
 def test_chat_edges(spark):
     rows = spark.createDataFrame([(1, 0, "user", None), (1, 0, "user", ""), (None, None, None, "x"), (1, None, "odd", "y"), (1, 0, "user", "")], "conv_id long, turn long, role string, text string")
     assert chat.format_chats(rows).count() == 5 and chat.format_chats(rows.limit(0)).count() == 0
