@@ -18,7 +18,7 @@ _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 1 << 64)
 _MIXERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
 #: Bytes of text that are hashed at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
