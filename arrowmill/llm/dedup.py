@@ -126,15 +126,15 @@ def _matrix(column, width: int) -> np.ndarray:
 
 
 def _agreeing(threshold: int, coordinates: int):
-    """Of the rows a, b, n, and two signatures those that may be linked."""
+    """Of the rows a, b, n, and two signatures, whether they may be linked."""
     need = least_agreement(threshold, coordinates)
 
     def agree(batches):
         import pyarrow as pa
 
         for batch in batches:
-            mask = pa.array((_matrix(batch.column(3), coordinates) == _matrix(batch.column(4), coordinates)).sum(axis=1) >= need)
-            yield pa.record_batch([batch.column(i).filter(mask) for i in range(3)], names=["a", "b", "n"])
+            alike = pa.array((_matrix(batch.column(3), coordinates) == _matrix(batch.column(4), coordinates)).sum(axis=1) >= need)
+            yield pa.record_batch([*batch.columns[:3], alike], names=["a", "b", "n", "alike"])
 
     return agree
 
@@ -320,20 +320,21 @@ def _components_of(docs: DataFrame, *, width: int, threshold: int, bands: int, r
     shared = buckets.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "lead")
     crowded = written(buckets.join(shared, "key").select("key", "node", "lead"), "buckets")
     votes = crowded.where("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("m"))
-    best = written(votes.groupBy("node").agg(F.max(F.struct("m", -F.col("lead"))).alias("v")).select((-F.col("v.col2")).alias("a"), F.col("node").alias("b")), "best")
+    best = votes.groupBy("node").agg(F.max(F.struct("m", -F.col("lead"))).alias("v")).select((-F.col("v.col2")).alias("a"), F.col("node").alias("b"))
     of_rep = lambda k, *more: reps.select(F.col("node").alias(k), *more)
-    alike = best.join(of_rep("a", F.col("sig").alias("sa")), "a").join(of_rep("b", "n", F.col("sig").alias("sb")), "b").select("a", "b", "n", "sa", "sb")
-    pairs = written(alike.mapInArrow(_agreeing(threshold, coordinates), "a long, b long, n long"), "pairs")
+    signs = best.join(of_rep("a", F.col("sig").alias("sa")), "a").join(of_rep("b", "n", F.col("sig").alias("sb")), "b").select("a", "b", "n", "sa", "sb")
+    best = written(signs.mapInArrow(_agreeing(threshold, coordinates), "a long, b long, n long, alike boolean"), "best")
+    pairs = best.where("alike").select("a", "b", "n")
     # A lead with many partners meets them in pieces.
     leads = pairs.groupBy("a").agg(F.ceil(F.sum("n") / (2 * PIECE_SHINGLES)).alias("pieces"))
     role = lambda u1, side, node: (F.col("a").alias("key"), u1.cast("bigint").alias("u1"), F.lit(-1).cast("bigint").alias("u2"), F.lit(side).alias("side"), F.col(node).alias("node"), F.col(node).alias("c"))
     first = leads.select("a", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("p")).select(*role(F.col("p"), 0, "a"))
     second = pairs.join(leads, "a").select(*role(F.pmod(F.xxhash64("b"), F.col("pieces")), 1, "b"))
     linker = _linker(width, threshold, coordinates)
-    found = written(components(_links(first.unionByName(second), reps, texts, linker)), "components")
+    found = components(_links(first.unionByName(second), reps, texts, linker))
 
     named = F.coalesce(F.col("component"), F.col("node"))
-    held = written(crowded.select("key", "node").join(found, "node", "left").select("key", "node", named.alias("c")), "held")
+    held = crowded.select("key", "node").join(found, "node", "left").select("key", "node", named.alias("c"))
     parts = held.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
     main = parts.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main")
     mixed = written(held.join(main, "key").join(reps.select("node", "n"), "node"), "mixed")
@@ -344,7 +345,7 @@ def _components_of(docs: DataFrame, *, width: int, threshold: int, bands: int, r
     if not likely.isEmpty():
         more = _links(likely, reps, texts, linker)
         if not more.isEmpty():
-            found = written(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
+            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
     # A component is named by its least row.
     rows_of = found.join(reps.select("node", F.struct("doc_id", "th").alias("r")), "node")
