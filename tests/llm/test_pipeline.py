@@ -13,7 +13,7 @@ from arrowmill.llm.common import table, written
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from test_dedup import brute
 from test_mixing_sharding import kd_boxes
-from test_text import leaks
+from test_text import leaks_of_sharers
 
 
 def test_equals_a_plain_version(spark, small, monkeypatch):
@@ -29,7 +29,7 @@ def test_equals_a_plain_version(spark, small, monkeypatch):
     classes = brute([(i, rows[i].text) for i in sorted(kept)], 5, 80)
     single = {i for i, (_, least) in classes.items() if i == least}
     items = [(r.item_id, r.text) for r in table(spark, small, "benchmark").collect()]
-    leaked = {d for d, _ in leaks([(i, rows[i].text) for i in sorted(single)], items)}
+    leaked = {d for d, _ in leaks_of_sharers([(i, rows[i].text) for i in sorted(single)], items)}
     clean = single - leaked
     assert rows.keys() > kept > single > clean
     c.unregister("documents")
@@ -38,7 +38,8 @@ def test_equals_a_plain_version(spark, small, monkeypatch):
     found = corpus_pipeline.run(spark, small).collect()
     assert Counter(r.doc_id for r in found) == Counter(times)
     assert all(tuple(r)[: len(documents.columns)] == tuple(rows[r.doc_id]) for r in found)
-    placed = {i: tuple(p) for i, p in ((r.doc_id, r["x"]) for r in sharding.placed_at(sharding.points(documents), sharding.unlike(sharding.points(documents))).collect())}
+    narrow = sharding.points(documents.where(documents.doc_id.isin(list(times))))
+    placed = {r.doc_id: tuple(r["x"]) for r in sharding.placed_at(narrow, sharding.unlike(narrow)).collect()}
     want = kd_boxes([(len(rows[i].text.encode()) + 16, placed[i]) for i in times for _ in range(times[i])], 40)
     for r in found:
         first, k = want[placed[r.doc_id]]

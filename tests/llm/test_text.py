@@ -39,6 +39,21 @@ def leaks(docs, items):
     return out
 
 
+def leaks_of_sharers(docs, items):
+    """`leaks` of the documents and items that share a shingle; the others have none."""
+    plain = lambda t: re.sub(r"[\W_]+", " ", (t or "").lower()).split()
+    places, texts, out = {}, dict(items), {}
+    for i, t in items:
+        w = plain(t)
+        for j in range(len(w) - 4):
+            places.setdefault(tuple(w[j : j + 5]), set()).add(i)
+    for d, t in docs:
+        w = plain(t)
+        for i in {i for j in range(len(w) - 4) for i in places.get(tuple(w[j : j + 5]), ())}:
+            out |= leaks([(d, t)], [(i, texts[i])])
+    return out
+
+
 def test_leaks_equal_brute_force(spark, make):
     r = random.Random(2)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
@@ -89,19 +104,7 @@ def test_leaks_of_the_tables_equal_brute_force(spark, threshold):
         found = {(x.doc_id, x.item_id): round(x.similarity, 6) for x in decontaminate.report(docs, items).collect()}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    plain = lambda t: re.sub(r"[\W_]+", " ", (t or "").lower()).split()
-    rows = [(r.item_id, r.text) for r in items.collect()]
-    places = {}
-    for i, t in rows:
-        w = plain(t)
-        for j in range(len(w) - 4):
-            places.setdefault(tuple(w[j : j + 5]), set()).add(i)
-    texts = dict(rows)
-    want = {}
-    for r in docs.collect():
-        w = plain(r.text)
-        for i in {i for j in range(len(w) - 4) for i in places.get(tuple(w[j : j + 5]), ())}:
-            want.update({k: round(s, 6) for k, s in leaks([(r.doc_id, r.text)], [(i, texts[i])]).items()})
+    want = {k: round(v, 6) for k, v in leaks_of_sharers([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()]).items()}
     assert found == want and len(want) > 20
 
 
