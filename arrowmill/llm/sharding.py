@@ -17,8 +17,8 @@ literal arrays that a row walks from the root, so no rows are joined or moved.
 
 Equal texts are one point, as rows of one text that differ in source or
 language all count with the least of these, and stay in one shard. A text whose
-copies alone weigh more than a shard is spread over its box's shards by a hash
-of doc_id, as no law of equal sizes could hold otherwise.
+copies alone weigh more than a shard is split on along a hash of doc_id, by
+medians like any box, as no law of equal sizes could hold otherwise.
 
 Edge cases: a null text weighs 16 bytes and has the CRC-32 of an empty one; null
 and missing sources and languages are values like any other; repeated rows are
@@ -62,11 +62,11 @@ def unlike(narrow: DataFrame) -> DataFrame:
     return seen.where("lo_source <> hi_source or lo_lang <> hi_lang").select(F.col("th").alias("__th"), "lo_source", "lo_lang")
 
 
-def placed_at(rows: DataFrame, several: DataFrame) -> DataFrame:
-    """`rows` (th, source, lang, size, ...) with the coordinates x: in each the value in the upper and the hash in the lower bits."""
+def placed_at(rows: DataFrame, several: DataFrame, *apart: str) -> DataFrame:
+    """`rows` (th, source, lang, size, ...) with the coordinates x: in each the value in the upper and the hash in the lower bits; behind them a hash of the columns `apart`, which parts the rows of one text."""
     size = F.least(F.log2(F.col("size").cast("double")) / 48.0, F.lit(0.999))
     values = F.coalesce("lo_source", "source"), F.coalesce("lo_lang", "lang"), F.floor(size * float(1 << _VALUE)).cast("bigint")
-    x = F.array(*[F.shiftleft(v, 32) + F.shiftrightunsigned("th", 32) for v in values])
+    x = F.array(*[F.shiftleft(v, 32) + F.shiftrightunsigned("th", 32) for v in values], F.shiftrightunsigned(F.xxhash64(*apart), 1))
     return rows.join(several, F.col("th") == F.col("__th"), "left").withColumn("x", x).drop("__th", "lo_source", "lo_lang")
 
 
@@ -92,9 +92,8 @@ class Tree:
         return f"aggregate(sequence(1, {max(self.deep)}), 0, (n, i) -> if({dim}[n] < 0, n, {left}[n] + if(get(x, {dim}[n]) >= {at}[n], 1, 0)))"
 
     def shard(self) -> str:
-        """SQL for the shard of a row with x and doc_id."""
-        first, n = (f"array({', '.join(map(str, a))})" for a in (self.first, self.shards))
-        return f"aggregate(array({self.walk()}), 0, (s, n) -> {first}[n] + cast(pmod(xxhash64(doc_id), {n}[n]) as int))"
+        """SQL for the shard of a row with x; of a box of several shards, which only equal rows can be, the first."""
+        return f"array({', '.join(map(str, self.first))})[{self.walk()}]"
 
 
 def _medians(rows: DataFrame, tree: Tree, wanted: dict[int, tuple[int, int, int, float]], exact: float, bins: int) -> dict[int, tuple[int, int]]:
@@ -133,7 +132,7 @@ def grow(rows: DataFrame, shards: int = SHARDS, bins: int = BINS) -> Tree:
     n_dims = len(DIMS)
     while open_:
         mark = f"array({', '.join('true' if n in open_ else 'false' for n in range(len(tree.dim)))})"
-        ends = [f(F.col("x")[d]).alias(f"{k}{d}") for d in range(n_dims) for k, f in (("lo", F.min), ("hi", F.max))]
+        ends = [f(F.col("x")[d]).alias(f"{k}{d}") for d in range(n_dims + 1) for k, f in (("lo", F.min), ("hi", F.max))]
         boxes = rows.select("size", "x", F.expr(tree.walk()).alias("node")).where(F.expr(f"{mark}[node]")).groupBy("node").agg(F.sum("size").alias("bytes"), *ends).collect()
         value = lambda r, d: (r[f"hi{d}"] >> 32) - (r[f"lo{d}"] >> 32)
         if spread is None and boxes:
@@ -141,7 +140,8 @@ def grow(rows: DataFrame, shards: int = SHARDS, bins: int = BINS) -> Tree:
         wanted, weight = {}, {}
         for r in boxes:
             d = max(range(n_dims), key=lambda d: value(r, d) / spread[d])
-            if r[f"lo{d}"] < r[f"hi{d}"]:  # else it is one text, which only doc_id can part
+            d = d if r[f"lo{d}"] < r[f"hi{d}"] else n_dims  # one text, which outweighs a shard
+            if r[f"lo{d}"] < r[f"hi{d}"]:
                 n, k = r["node"], tree.shards[r["node"]]
                 wanted[n], weight[n] = (d, r[f"lo{d}"], r[f"hi{d}"], r["bytes"] * (k // 2) / k), r["bytes"]
         open_ = set()
@@ -171,7 +171,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, bins: int = BINS) -> DataFrame:
     def made() -> DataFrame:
         # Rows get numbers, which stay as the table is written, so that even equal rows fall into many pieces.
         narrow = written(points(docs).withColumn("n", F.monotonically_increasing_id()), "points")
-        rows = written(placed_at(narrow, unlike(narrow)).select("doc_id", "size", "text_crc32", "n", "x"), "coordinates")
+        rows = written(placed_at(narrow, unlike(narrow), "doc_id", "n").select("doc_id", "size", "text_crc32", "n", "x"), "coordinates")
         told = rows.withColumn("shard", F.expr(grow(rows, shards, bins).shard()))
         out = slotted(told, told, rows.count(), ["n"], ["doc_id", "text_crc32", "n"], shards)
         return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -193,10 +193,10 @@ def placed(docs: DataFrame, shards: int = SHARDS, bins: int = BINS) -> DataFrame
     """
     narrow = written(points(docs), "points")
     several = written(unlike(narrow), "several")
-    rows = written(placed_at(narrow, several).select("doc_id", "size", "th", "x"), "coordinates")
+    rows = written(placed_at(narrow, several, "doc_id").select("doc_id", "size", "th", "x"), "coordinates")
     tree = grow(rows, shards, bins)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    wide = placed_at(points(docs, row.alias("__row"), F.xxhash64(row).alias("__all")), several)
+    wide = placed_at(points(docs, row.alias("__row"), F.xxhash64(row).alias("__all")), several, "doc_id")
     told = wide.withColumn("shard", F.expr(tree.shard()))
     out = slotted(told, rows.withColumn("shard", F.expr(tree.shard())), rows.count(), ["doc_id", "th"], ["doc_id", "th", "__all"], shards)
     return out.select("__row.*", *[F.col(c).alias(free_name(c, docs.columns)) for c in ("size", "shard", "slot")])
