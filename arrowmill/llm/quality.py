@@ -31,7 +31,7 @@ RULES = ("symbols", "lines", "windows")
 CUTOFFS = (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02, 0.01)
 STEPS = len(RULES) * len(CUTOFFS)
 WINDOW = 5
-ALPHA, DELTA = 0.05, 0.05
+ALPHA, DELTA = 0.02, 0.05
 NO_LANGUAGE = ""
 
 
