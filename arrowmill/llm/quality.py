@@ -126,7 +126,8 @@ def judge(featured: DataFrame, cutoffs: DataFrame, *, stratum: str = "lang", q:
     """`featured` with a boolean: true if neither base limits nor a step admitted for its stratum reject the document."""
     cuts = cutoffs.select(F.col("stratum").alias("__stratum"), F.col("last").alias("__last"))
     joined = featured.join(cuts, F.coalesce(F.col(stratum), F.lit(NO_LANGUAGE)) == F.col("__stratum"), "left")
-    return joined.withColumn(to, F.expr(f"not `{q}`.base_failed and not coalesce({first_step(q)} <= __last, false)")).drop("__stratum", "__last")
+    # One condition over both sides: a part that reads the features alone would be pushed below the join and compute them a second time.
+    return joined.withColumn(to, F.expr(f"if(`{q}`.base_failed, false, not coalesce({first_step(q)} <= __last, false))")).drop("__stratum", "__last")
 
 
 def assess(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
